@@ -24,7 +24,7 @@ def plausible(kind: str, value: str) -> bool:
     v = fold_chars(value).replace("​", "")
     digits = sum(c.isdigit() for c in v)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b|\(at\)|\[at\]", v, re.I)) and len(v) > 6
+        return bool(re.search(r"\w\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[\w-]{2,}\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?\w{2,}", v, re.I))
     if kind == "phone":
         return 7 <= digits + len(_DIGIT_WORD.findall(v)) <= 15
     if kind == "id_number":

@@ -1,6 +1,6 @@
 """Trains the tagger of ``pii`` from labelled spans and writes its weights.
 
-    python -m textwarden.llm.pii_training GOLD.parquet OUT.npz [STEPS] [MINUTES]
+    python -m textwarden.llm.pii_training GOLD.parquet OUT.npz [STEPS] [MINUTES] [SEED] [WEIGHTS TO GO ON FROM]
 
 Labelled spans come from two sides. ``label`` marks the spans of a bounded sample of
 given texts by the formats in which such data is written (training only; the operator
@@ -31,8 +31,8 @@ STREET_KINDS = "Road Street Cross Marg Avenue Close Court Gali Lane Nagar Colony
 HI_STREETS = "मोची मार्ग|पुरानी सड़क|बाज़ार गली|नीम मार्ग|मंदिर मार्ग".split("|")
 DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
 _TLD = r"(?:example|invalid|test|com|org|net|in)"
-_STREET = "|".join([*map(re.escape, STREETS), *(rf"[A-Z]\w+(?: [A-Z]\w+)? {k}" for k in STREET_KINDS)])
-_PLACE = r"[^\W\d_]+(?: \d{6})?"
+_STREET = "|".join(map(re.escape, STREETS))
+_PLACE = r"[^\W\d_][^\W\d_\u0900-\u097f\u200b]*[\u0900-\u0963\u0970-\u097f]*(?:[^\W\d_]|[\u0900-\u0963\u0970-\u097f])*(?: \d{6}\b)?"
 _DOT = r"\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?"
 RULES = {
     "email": rf"<?(?P<x>[\w.+-]+(?:\s?(?:@|\(at\)|\[at\])\s?|\sat\s)[a-z0-9]+(?:{_DOT}[a-z]+)*{_DOT}{_TLD}\b)",
@@ -171,7 +171,7 @@ def example(r: random.Random, rows: list[tuple[str, list]], clean: list[str], cl
     return text, sp
 
 
-def train(rows: list[str], out: str, steps: int = 4000, minutes: float = 15, hidden: int = 48, emb: int = 24, seed: int = 7) -> None:
+def train(rows: list[str], out: str, steps: int = 4000, minutes: float = 15, hidden: int = 48, emb: int = 24, seed: int = 7, init: str = "") -> None:
     r, g = random.Random(seed), np.random.default_rng(seed)
     r.shuffle(rows)
     rows = rows[:SAMPLE]
@@ -182,6 +182,9 @@ def train(rows: list[str], out: str, steps: int = 4000, minutes: float = 15, hid
     w = {"emb": g.normal(0, 0.3, (N_CHARS, emb)), "wx": g.normal(0, e1**-0.5, (2, e1, 4 * hidden)), "wh": g.normal(0, hidden**-0.5, (2, hidden, 4 * hidden)), "b": np.zeros((2, 4 * hidden)), "wo": g.normal(0, 0.1, (2 * hidden, k)), "bo": np.zeros(k), "trans": np.zeros((k, k))}
     w = {n: x.astype(np.float32) for n, x in w.items()}
     w["b"][:, hidden : 2 * hidden] = 1
+    if init:  # go on from earlier weights, in smaller steps
+        with np.load(init) as z:
+            w = {n: z[n].astype(np.float32) for n in w}
     allowed = transitions_allowed()
     m1, m2 = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
     length, batch, began, loss_avg = 112, 64, time.time(), 0.0
@@ -204,7 +207,7 @@ def train(rows: list[str], out: str, steps: int = 4000, minutes: float = 15, hid
             ids[i, : len(x)], tags[i, : len(y)], mask[i, : len(x)] = x, y, 1
         loss, grad = _loss(w, ids, tags, mask, allowed, hidden)
         norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))
-        lr = 3e-3 * min(1, (step + 1) / 100) * (0.5 * (1 + np.cos(np.pi * min(1, max(step / steps, (time.time() - began) / 60 / minutes)))) + 0.01)
+        lr = (1.5e-3 if init else 3e-3) * min(1, (step + 1) / 100) * (0.5 * (1 + np.cos(np.pi * min(1, max(step / steps, (time.time() - began) / 60 / minutes)))) + 0.01)
         for n in w:
             x = grad[n] * min(1, 5 / (norm + 1e-9))
             m1[n] = 0.9 * m1[n] + 0.1 * x
@@ -293,11 +296,11 @@ def _loss(w, ids, tags, mask, allowed, hidden):
     return loss, grad
 
 
-def main(path: str, out: str, steps: str = "4000", minutes: str = "15") -> None:
+def main(path: str, out: str, steps: str = "4000", minutes: str = "15", seed: str = "7", init: str = "") -> None:
     import pyarrow.parquet as pq
 
     t = pq.read_table(path, columns=["id", "text"]).to_pandas().drop_duplicates("id")
-    train(t.text.dropna().tolist(), out, int(steps), float(minutes))
+    train(t.text.dropna().tolist(), out, int(steps), float(minutes), seed=int(seed), init=init)
 
 
 if __name__ == "__main__":
