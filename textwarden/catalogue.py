@@ -1,9 +1,14 @@
 """All core queries and their SQL by name."""
 
+from __future__ import annotations
+
+from .plans import curation, decisions, streams, telemetry  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
