@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def confusion(df: DataFrame, truth: Column, predicted: Column, *by: str) -> DataFrame:
     """tp, fp, tn, fn; rows with a null on either side are left out."""
     x = df.select(*by, truth.cast("int").alias("y"), predicted.cast("int").alias("p")).where("y is not null and p is not null")
-    return x.groupBy(*by).agg(F.count_if("y = 1 and p = 1").alias("tp"), F.count_if("y = 0 and p = 1").alias("fp"), F.count_if("y = 0 and p = 0").alias("tn"), F.count_if("y = 1 and p = 0").alias("fn"))
+    return x.groupBy(*by).agg(F.count_if(F.expr("y = 1 and p = 1")).alias("tp"), F.count_if(F.expr("y = 0 and p = 1")).alias("fp"), F.count_if(F.expr("y = 0 and p = 0")).alias("tn"), F.count_if(F.expr("y = 1 and p = 0")).alias("fn"))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -1 +1,44 @@
+"""Streaming queries and the batch twins of the stateful operators."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import stateful as S
+from .registry import query, read
+
+
+def _events(spark, d):
+    return read(spark, d, "events", "event_id", "user_id", "ts", "event_type").select("event_id", F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def stream_daily_usage(spark, d):
+    schema = read(spark, d, "events").schema
+    src = S.events(spark, f"{d}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = S.run_to_end(S.daily_usage(src), "daily_" + uuid.uuid4().hex[:8], "complete")
+    return out.select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+@query()
+def stream_rate_limit(spark, d):
+    schema = read(spark, d, "events").schema
+    src = S.events(spark, f"{d}/events.parquet", schema).select(F.col("event_id"), F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    return S.run_to_end(S.limiter_stream(src), "limit_" + uuid.uuid4().hex[:8])
+
+
+@query()
+def rate_limit_stateful(spark, d):
+    return S.limiter_batch(_events(spark, d).select("event_id", "client", "ts"))
+
+
+@query()
+def breaker_fsm(spark, d):
+    return S.breaker_batch(_events(spark, d).select("event_id", "client", "ts", (F.col("event_type") != "error").alias("ok")))
+
+
+@query()
+def call_budget(spark, d):
+    return S.budget_batch(_events(spark, d).select("event_id", "client", "ts"))
