@@ -28,9 +28,9 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "phone":
         return 7 <= digits + len(_DIGIT_WORD.findall(v)) <= 15
     if kind == "id_number":
-        return digits >= 4 and len(v) >= 6
+        return digits >= 4 and len(v) >= 6 and not re.search(r"[@$!]", v)
     if kind == "address":
-        return digits >= 1 and bool(re.search(r"[^\W\d_]{3}", v))
+        return digits >= 1 and len(re.findall(r"[^\W\d_]", v)) >= 3
     return len(v) >= 3 and not digits
 
 
