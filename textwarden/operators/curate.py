@@ -104,7 +104,7 @@ def pattern_from_text(text: Column) -> tuple[Column, Column]:
     short = F.array_join(F.slice(words(low), 1, 4), " ")
     body = F.when(F.length(low).between(3, 50), low).otherwise(short)
     escaped = F.regexp_replace(body, r"([\\.^$|?*+()\[\]{}\-&~#])", r"\\$1")
-    regex = F.concat(F.lit(r"(?i)\b"), F.regexp_replace(escaped, " +", r"\\\\s+"), F.lit(r"\b"))
+    regex = F.concat(F.lit(r"(?i)\b"), F.regexp_replace(escaped, " +", r"\\s+"), F.lit(r"\b"))
     return regex, F.concat(F.lit("learned_"), F.substring(F.regexp_replace(body, "[^a-z0-9]+", "_"), 1, 20))
 
 

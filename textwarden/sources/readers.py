@@ -18,7 +18,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def jsonl(spark: SparkSession, path: str, schema: str = S.EXAMPLE) -> DataFrame:
     """One object per line; fields that a line lacks are null, broken lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return _whole(_lenient(spark, schema).json(path))
+
+
+def _lenient(spark: SparkSession, schema: str):
+    return spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken")
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.where("_broken is null").drop("_broken")
 
 
 def jsonl_optional(spark: SparkSession, path: str, schema: str = S.EXAMPLE) -> DataFrame:
@@ -29,7 +37,7 @@ def jsonl_optional(spark: SparkSession, path: str, schema: str = S.EXAMPLE) -> D
 def jsonl_dir(spark: SparkSession, path: str, schema: str = S.EXAMPLE, exclude: Sequence[str] = ("router",)) -> DataFrame:
     """A folder of JSON lines, the file's name as category; files of the excluded names left out."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.jsonl?$", 1)
-    df = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(path).withColumn("_file", name)
+    df = _whole(_lenient(spark, schema).option("pathGlobFilter", "*.jsonl").json(path).withColumn("_file", name))
     return df.where(~F.col("_file").isin(*exclude)).withColumn("category", F.col("_file")).drop("_file")
 
 
