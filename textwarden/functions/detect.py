@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import fixed_values as V
-from ..rules.packs import FINANCE, INJECTION, PII, SEVERITIES, TOXIC, Rule, union_pattern
+from ..rules.literals import needs
+from ..rules.packs import FINANCE, INJECTION, PII, SEVERITIES, TOXIC, Rule
 
 DETECTION = "array<struct<category:string,severity:string,confidence:double,matched_text:string,start_pos:int,end_pos:int,explanation:string,detector:string>>"
 
@@ -40,16 +41,68 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(parts, state, step, lambda acc: acc["out"])
 
 
-def _detection(rule: Rule, m: Column, s: Column, e: Column, explanation: Column | None = None) -> Column:
-    return F.struct(F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"), F.lit(rule.confidence).alias("confidence"), m.alias("matched_text"), s.cast("int").alias("start_pos"), e.cast("int").alias("end_pos"), (explanation if explanation is not None else F.lit(rule.explanation)).alias("explanation"), F.lit(rule.detector).alias("detector"))
+# The packs are built as SQL text: one call for a pack instead of one for each of its thousands of nodes.
+_EMPTY = f"cast(array() AS {DETECTION})"
 
 
-def _outside(found: Column, spans_: Column) -> Column:
-    return let(spans_, lambda h: F.filter(found, lambda x: ~F.exists(h, lambda u: (x["s"] >= u["s"]) & (x["e"] <= u["e"]))))
+def quote(x: str) -> str:
+    """A SQL string literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def _as_detections(rule: Rule, found: Column) -> Column:
-    return F.transform(found, lambda x: _detection(rule, x["m"], x["s"], x["e"]))
+def java(pattern: str) -> str:
+    return "(?iU)" + pattern[4:] if pattern.startswith("(?i)") else "(?U)" + pattern
+
+
+def _contains_sql(low: str, parts: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({low}, {quote(p)})" for p in parts) + ")"
+
+
+def hit_sql(text: str, low: str, pattern: str) -> str:
+    """Whether an ignore-case pattern matches; the pattern runs only where one of its words stands."""
+    words_ = needs(pattern) if pattern.startswith("(?i)") else ()
+    found = f"rlike({text}, {quote(java(pattern))})"
+    return f"({_contains_sql(low, words_)} AND {found})" if words_ else found
+
+
+def spans_sql(text: str, pattern: str, group: int = 0) -> str:
+    """As ``spans``."""
+    p = quote(pattern)
+    zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
+    state = "named_struct('at', 0, 'out', cast(array() AS array<struct<m:string,s:int,e:int>>))"
+    s, e = "acc.at + length(x.`0`)", "acc.at + length(x.`0`) + length(x.`1`)"
+    return f"aggregate({zipped}, {state}, (acc, x) -> if(x.`1` IS NULL, acc, named_struct('at', {e}, 'out', concat(acc.out, array(named_struct('m', x.`2`, 's', {s}, 'e', {e}))))), acc -> acc.out)"
+
+
+def _detection_sql(rule: Rule, m: str, s: str, e: str, explanation: str | None = None) -> str:
+    return f"named_struct('category', {quote(rule.category)}, 'severity', {quote(rule.severity)}, 'confidence', {rule.confidence}D, 'matched_text', {m}, 'start_pos', cast({s} AS int), 'end_pos', cast({e} AS int), 'explanation', {quote(explanation or rule.explanation)}, 'detector', {quote(rule.detector)})"
+
+
+def _keep_first_sql(found: str, same: str) -> str:
+    return f"aggregate({found}, {_EMPTY}, (acc, x) -> if(exists(acc, y -> {same}), acc, concat(acc, array(x))))"
+
+
+# What every match of the case-sensitive rules holds, as cheap tests on the text.
+_GATES = {
+    "pii_phone": r"(?U)\d[\d\s().-]{7,}\d", "pii_credit_card": r"(?U)\d[\d\s-]{12,}\d", "pii_ssn": r"(?U)\d[\d\s-]{7,}\d", "pii_aadhaar": r"(?U)\d[\d\s-]{10,}\d",
+    "pii_bank_account": r"(?U)\d{9}", "pii_pan": "[A-Z]{5}", "pii_ifsc": "[A-Z]{4}0", "pii_gst": "[A-Z]{5}", "pii_demat": "IN[A-Z0-9]{6}", "pii_ip_address": r"(?U)\d\.\d{1,3}\.\d",
+}
+_WORDS = ("sk-", "AKIA", "ghp_", "gsk_", "rzp_")
+
+
+def pii_hit_sql(text: str, low: str, rule: Rule) -> str:
+    found = f"rlike({text}, {quote(rule.java)})"
+    if rule.category in ("pii_email", "pii_upi"):  # no left boundary: would try every position
+        return f"(contains({text}, '@') AND {found})"
+    if rule.category in _GATES:
+        return f"(rlike({text}, {quote(_GATES[rule.category])}) AND {hit_sql(text, low, rule.pattern)})"
+    word = next((w for w in _WORDS if w in rule.pattern), None)
+    return f"(contains({text}, {quote(word)}) AND {found})" if word else hit_sql(text, low, rule.pattern)
+
+
+def low_text(text: Column) -> Column:
+    """The lower-case text in which the rules' words are searched; callers that run several packs keep it as a column."""
+    return F.lower(text)
 
 
 def keep_first(found: Column, same) -> Column:
@@ -60,59 +113,56 @@ def keep_first(found: Column, same) -> Column:
 _UPI = next(r for r in PII if r.category == "pii_upi")
 
 
-def pii_all(text: Column, categories: Sequence[str] | None = None, rules: Sequence[Rule] = PII) -> Column:
-    """Every match of the personal-data rules in rule order, repeats included; phones inside a payment handle left out."""
-    handles = F.when(text.contains("@"), spans(text, _UPI.java)).otherwise(F.array().cast("array<struct<m:string,s:int,e:int>>"))
+def pii_all(text: str, categories: Sequence[str] | None = None, rules: Sequence[Rule] = PII, low: str | None = None) -> Column:
+    """Every match of the personal-data rules in rule order, repeats included; phones inside a payment handle left out.
+
+    ``text`` and ``low`` (the lower-case text) name columns.
+    """
+    low = low or f"lower({text})"
+    handles = f"if(contains({text}, '@'), {spans_sql(text, _UPI.java)}, cast(array() AS array<struct<m:string,s:int,e:int>>))"
     parts = []
     for r in rules:
         if categories and r.category not in categories:
             continue
-        found = F.filter(spans(text, r.java, r.group), lambda x: F.length(x["m"]) >= 4)
-        if r.category == "pii_phone":
-            found = _outside(found, handles)
+        found = f"filter({spans_sql(text, r.java, r.group)}, x -> length(x.m) >= 4)"
+        if r.category == "pii_phone":  # the handles are computed once, not per match
+            found = f"get(transform(array({handles}), h -> filter({found}, x -> NOT exists(h, u -> x.s >= u.s AND x.e <= u.e))), 0)"
         if r.category == "pii_bank_account":
-            found = F.filter(found, lambda x: ~((F.length(x["m"]) == 10) & x["m"].rlike("^[6-9]")))
-        # a literal test first: the rules around an at sign have no left boundary and would try every position
-        hit = text.contains("@") & text.rlike(r.java) if "@" in r.pattern and r.category in ("pii_email", "pii_upi") else text.rlike(r.java)
-        parts.append(F.when(hit, _as_detections(r, found)).otherwise(empty()))
-    if not parts:
-        return empty()
-    # most texts hold no digit, at sign or secret word at all
-    some = text.rlike("(?U)[\\d@]|(?i:api|key|password|passwd|pwd|secret|token|sk-|akia|ghp_|gsk_|rzp_)|[A-Z]{4}")
-    return F.when(some, F.flatten(F.array(*parts))).otherwise(empty())
-
-
-def pii(text: Column, categories: Sequence[str] | None = None) -> Column:
+            found = f"filter({found}, x -> NOT (length(x.m) = 10 AND rlike(x.m, '^[6-9]')))"
+        parts.append(f"if({pii_hit_sql(text, low, r)}, transform({found}, x -> {_detection_sql(r, 'x.m', 'x.s', 'x.e')}), {_EMPTY})")
+    return F.expr(f"flatten(array({', '.join(parts)}))") if parts else empty()
+
+
+def pii(text: str, categories: Sequence[str] | None = None) -> Column:
     """``pii_all`` without repeats of one (category, matched text)."""
     return keep_first(pii_all(text, categories), lambda x, y: (x["category"] == y["category"]) & (x["matched_text"] == y["matched_text"]))
 
 
-def first_per_category(text: Column, rules: Sequence[Rule]) -> Column:
+def first_per_category(text: str, rules: Sequence[Rule], low: str | None = None) -> Column:
     """The first match of each rule, in the order that the pack prescribes, then the first entry of each category."""
+    low = low or f"lower({text})"
     parts = []
     for r in rules:
-        gap = F.get(F.split(text, r.java, 2), F.lit(0))
-        m = F.regexp_extract(text, r.java, 0)
-        parts.append(F.when(text.rlike(r.java), F.array(_detection(r, m, F.length(gap), F.length(gap) + F.length(m)))).otherwise(empty()))
-    found = F.flatten(F.array(*parts))
-    return F.when(text.rlike(union_pattern([r.pattern for r in rules])), keep_first(found, lambda x, y: x["category"] == y["category"])).otherwise(empty())
+        p = quote(r.java)
+        start, m = f"length(get(split({text}, {p}, 2), 0))", f"regexp_extract({text}, {p}, 0)"
+        parts.append(f"if({hit_sql(text, low, r.pattern)}, array({_detection_sql(r, m, start, f'{start} + length({m})')}), {_EMPTY})")
+    return F.expr(_keep_first_sql(f"flatten(array({', '.join(parts)}))", "x.category = y.category"))
 
 
-def injection(text: Column) -> Column:
-    return first_per_category(text, INJECTION)
+def injection(text: str, low: str | None = None) -> Column:
+    return first_per_category(text, INJECTION, low)
 
 
-def finance(text: Column) -> Column:
+def finance(text: str, low: str | None = None) -> Column:
     """Ordered by the severity's name from z to a; equal names keep the rules' order."""
-    return first_per_category(text, sorted(FINANCE, key=lambda r: r.severity, reverse=True))
+    return first_per_category(text, sorted(FINANCE, key=lambda r: r.severity, reverse=True), low)
 
 
-def keyword(text: Column) -> Column:
+def keyword(text: str, low: str | None = None) -> Column:
     """The first toxic rule that matches anywhere decides; its span is the whole text."""
-    out = empty()
-    for r in reversed(TOXIC):
-        out = F.when(text.rlike(r.java), F.array(_detection(r, F.substring(text, 1, 100), F.lit(0), F.length(text), F.lit(f"[KEYWORD] {r.explanation}")))).otherwise(out)
-    return F.when(text.rlike(union_pattern([r.pattern for r in TOXIC])), out).otherwise(empty())
+    low = low or f"lower({text})"
+    whens = " ".join(f"WHEN {hit_sql(text, low, r.pattern)} THEN array({_detection_sql(r, f'substring({text}, 1, 100)', '0', f'length({text})', '[KEYWORD] ' + r.explanation)})" for r in TOXIC)
+    return F.expr(f"CASE {whens} ELSE {_EMPTY} END")
 
 
 def _contains_any(text: Column, parts: Sequence[str]) -> Column:
@@ -156,18 +206,14 @@ def dynamic_threshold(text: Column, base: float = 0.7) -> Column:
     return F.when(n <= 3, 0.85).when(n <= 6, 0.80).when(n <= 12, 0.75).otherwise(base)
 
 
-def escalation(text: Column, learned: Sequence[tuple[str, str]] = ()) -> Column:
+def escalation(text: str, learned: Sequence[tuple[str, str]] = (), low: str | None = None) -> Column:
     """struct<escalate, reason, confidence, names>: whether a text needs the slow check."""
-    rules = [*V.SUSPICIOUS, *learned]
-    java = lambda p: "(?iU)" + p[4:] if p.startswith("(?i)") else "(?U)" + p
-    names = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(java(p)), F.lit(n)) for n, p in rules]))))
-    hits = F.array_compact(F.array(*[F.when(text.rlike(java(p)), F.lit(1)) for _, p in rules]))
-    safe = text.rlike(union_pattern(V.CLEARLY_SAFE))
-    some = text.rlike(union_pattern([p for _, p in rules]))
-    result = lambda e, r, c, n: F.struct(F.lit(e).alias("escalate"), F.lit(r).alias("reason"), c.alias("confidence"), n.alias("names"))
-    none = F.array().cast("array<string>")
-    short = F.size(words(text)) < 5
-    return F.when(safe, result(False, "clearly_safe", F.lit(0.95), none)).when(some, result(True, "suspicious", F.least(F.lit(0.95), F.lit(0.6) + 0.1 * F.size(hits)), names)).when(short, result(False, "short_text", F.lit(0.8), none)).otherwise(result(False, "no_indicators", F.lit(0.7), none))
+    low = low or f"lower({text})"
+    found = "array_compact(array(" + ", ".join(f"if({hit_sql(text, low, p)}, {quote(n)}, NULL)" for n, p in [*V.SUSPICIOUS, *learned]) + "))"
+    result = lambda e, r, c, n="cast(array() AS array<string>)": f"named_struct('escalate', {e}, 'reason', '{r}', 'confidence', {c}, 'names', {n})"
+    count = f"size(filter(split({text}, {quote('(?U)' + chr(92) + 's+')}), w -> w <> ''))"
+    open_ = f"get(transform(array({found}), f -> CASE WHEN size(f) > 0 THEN {result('true', 'suspicious', 'least(0.95D, 0.6D + 0.1D * size(f))', 'array_sort(array_distinct(f))')} WHEN {count} < 5 THEN {result('false', 'short_text', '0.8D')} ELSE {result('false', 'no_indicators', '0.7D')} END), 0)"
+    return F.expr(f"if({' OR '.join(hit_sql(text, low, p) for p in V.CLEARLY_SAFE)}, {result('false', 'clearly_safe', '0.95D')}, {open_})")
 
 
 def merged(found: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detect as D
+from ..functions.spread import spread
 
 TOXIC_ACTIONABLE = ("toxic_hate", "toxic_violence", "toxic_self_harm", "toxic_harassment", "toxic_sexual")
 
@@ -36,13 +37,13 @@ class Policy:
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def detections(text: Column, policy: Policy) -> dict[str, Column]:
+def detections(text: str, policy: Policy, low: str) -> dict[str, Column]:
     """A stage whose constant confidence lies below its threshold, or that is switched off, is not in the plan at all."""
     found = D.empty()
     if policy.detect_pii and policy.pii_threshold <= 0.95:
-        found = D.pii_all(text, policy.pii_types or None) if policy.compat == "fixed" else D.pii(text, policy.pii_types or None)
-    inj = D.injection(text) if policy.detect_injection and policy.injection_threshold <= 0.95 else D.empty()
-    fin = D.finance(text) if policy.detect_finance else D.empty()
+        found = D.pii_all(text, policy.pii_types or None, low=low)
+    inj = D.injection(text, low) if policy.detect_injection and policy.injection_threshold <= 0.95 else D.empty()
+    fin = D.finance(text, low) if policy.detect_finance else D.empty()
     return {"pii_all": found, "inj": inj, "fin": fin}
 
 
@@ -67,13 +68,14 @@ def analyze(df: DataFrame, policy: Policy = Policy(), text: str = "text", scorer
     runs on that residue only, since a Python stage inside the chain would see every row.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    parts = detections(t, policy)
-    out = df.select("*", *[c.alias(f"_{n}") for n, c in parts.items()])
+    parts = detections("_t", policy, "_low")
+    out = spread(df).withColumn("_t", t).withColumn("_low", D.low_text(F.col("_t"))).select("*", *[c.alias(f"_{n}") for n, c in parts.items()])
+    t = F.col("_t")
     once = D.keep_first(F.col("_pii_all"), lambda x, y: (x["category"] == y["category"]) & (x["matched_text"] == y["matched_text"]))
     out = out.withColumn("_pii", once)
     gate = (F.size("_pii") == 0) & (F.size("_fin") == 0)
     blank = (D.strip(t) == "") | D.gibberish(t) | D.safe_phrase(t)
-    tox = F.when(gate & ~blank, D.keyword(t)).otherwise(D.empty()) if policy.detect_toxicity else D.empty()
+    tox = F.when(gate & ~blank, D.keyword("_t", "_low")).otherwise(D.empty()) if policy.detect_toxicity else D.empty()
     out = out.withColumn("_tox", tox)
     if scorer is not None and policy.detect_toxicity:
         rest = gate & ~blank & (F.size("_tox") == 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import curate as C
 from ..operators import evaluate as E
 from ..rules import fixed_values as V
-from .registry import any_sql, lit, query, read
+from .registry import any_sql, lit, query, read, texts
 
 _WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 _STRIP = f"regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -180,7 +180,7 @@ _DEVA, _LAT = "regexp_matches(text, '[\\x{0900}-\\x{097F}]')", "regexp_matches(t
 {any_sql('lower(text)', V.TOXIC_WORDS)} AS toxic FROM documents WHERE text IS NOT NULL""")
 def script_flags(spark, d):
     t = F.col("text")
-    return read(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", C.script(t).alias("script"), C.has_hindi(t).alias("has_hindi"), C.has_hindi(t, V.HINGLISH_SHORT).alias("has_hindi_short"), C.toxic_flag(t).alias("toxic"))
+    return texts(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", C.script(t).alias("script"), C.has_hindi(t).alias("has_hindi"), C.has_hindi(t, V.HINGLISH_SHORT).alias("has_hindi_short"), C.toxic_flag(t).alias("toxic"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE text NOT IN ('[deleted]', '[removed]') AND length(text) > 20 AND ({any_sql('lower(text)', V.TOXIC_WORDS)} OR length(text) > 500)")

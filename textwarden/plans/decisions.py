@@ -9,7 +9,7 @@ from ..operators.decide import Policy, analyze, batch, exploded
 from ..operators import scorer as S
 from ..rules import fixed_values as V
 from ..rules.packs import FINANCE, INJECTION, PII, TOXIC
-from .registry import any_sql, lit, query, read
+from .registry import any_sql, lit, query, read, texts
 
 # SQL engines without look-around get the same rule with consuming classes; enough to tell whether it matches
 _SSN = r"\b(?:00[1-9]|0[1-9]\d|[1-578]\d\d|6[0-57-9]\d|66[0-57-9])[-\s]?(?:0[1-9]|[1-9]\d)[-\s]?(?:000[1-9]|00[1-9]\d|0[1-9]\d\d|[1-9]\d{3})\b"
@@ -41,7 +41,11 @@ def hit(col: str, p: str) -> str:
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents", "doc_id", "text")
+    return texts(spark, d, "documents", "doc_id", "text")
+
+
+def _low(df):
+    return df.withColumn("low", D.low_text(F.col("text")))
 
 
 def _matches_sql(rules) -> str:
@@ -54,7 +58,7 @@ _M = f"m AS (SELECT * FROM ({_matches_sql(EXACT)}) WHERE length(matched_text) >=
 @query(f"WITH {_M} SELECT doc_id, category, matched_text, count(*) AS n FROM m WHERE category <> 'pii_phone' GROUP BY ALL")
 def pii_matches(spark, d):
     types = [t for t in dict.fromkeys(r.category for r in EXACT) if t != "pii_phone"]
-    found = _docs(spark, d).select("doc_id", F.explode(D.pii_all(F.col("text"), types)).alias("x"))
+    found = _docs(spark, d).select("doc_id", F.explode(D.pii_all("text", types)).alias("x"))
     return found.groupBy("doc_id", F.col("x.category").alias("category"), F.col("x.matched_text").alias("matched_text")).agg(F.count("*").alias("n"))
 
 
@@ -118,7 +122,7 @@ def _first_sql(rules) -> str:
 
 @query(f"SELECT * FROM ({_first_sql(INJECTION)}) WHERE explanation IS NOT NULL")
 def injection_first_match(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(D.injection(F.col("text"))).alias("x")).select("doc_id", "x.category", "x.explanation")
+    return _low(_docs(spark, d)).select("doc_id", F.explode(D.injection("text", "low")).alias("x")).select("doc_id", "x.category", "x.explanation")
 
 
 _FIN = sorted(FINANCE, key=lambda r: r.severity, reverse=True)
@@ -126,7 +130,7 @@ _FIN = sorted(FINANCE, key=lambda r: r.severity, reverse=True)
 
 @query(f"SELECT * FROM ({_first_sql(_FIN)}) WHERE explanation IS NOT NULL")
 def finance_first_match(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(D.finance(F.col("text"))).alias("x")).select("doc_id", "x.category", "x.explanation")
+    return _low(_docs(spark, d)).select("doc_id", F.explode(D.finance("text", "low")).alias("x")).select("doc_id", "x.category", "x.explanation")
 
 
 
@@ -138,7 +142,7 @@ def _key(value) -> str:
 @query(f"SELECT id, category, explanation FROM (SELECT DISTINCT id, {_key(lambda r: r.category)} AS category, {_key(lambda r: '[KEYWORD] ' + r.explanation)} AS explanation FROM gold_v1) WHERE category IS NOT NULL")
 def keyword_first_rule(spark, d):
     g = read(spark, d, "gold_v1", "id", "text").distinct()
-    return g.select("id", F.explode(D.keyword(F.col("text"))).alias("x")).select("id", "x.category", "x.explanation")
+    return _low(g).select("id", F.explode(D.keyword("text", "low")).alias("x")).select("id", "x.category", "x.explanation")
 
 
 _LOW = f"regexp_replace(lower(text), '^{_CLASS_WS}+|{_CLASS_WS}+$', '', 'g')"
@@ -176,7 +180,7 @@ _CLEAR = "(" + " OR ".join(hit("text", p) for p in V.CLEARLY_SAFE) + ")"
 SELECT id, NOT clear AND hits > 0 AS escalate, CASE WHEN clear THEN 'clearly_safe' WHEN hits > 0 THEN 'suspicious' WHEN {_NWORDS} < 5 THEN 'short_text' ELSE 'no_indicators' END AS reason,
 CAST(round(CASE WHEN clear THEN 0.95 WHEN hits > 0 THEN least(0.95, 0.6 + 0.1 * hits) WHEN {_NWORDS} < 5 THEN 0.8 ELSE 0.7 END, 4) AS DOUBLE) AS confidence, CASE WHEN clear THEN '' ELSE array_to_string(names, ',') END AS names FROM a""")
 def escalation_classify(spark, d):
-    x = read(spark, d, "gold_v1", "id", "text").distinct().select("id", D.escalation(F.col("text")).alias("e"))
+    x = _low(read(spark, d, "gold_v1", "id", "text").distinct()).select("id", D.escalation("text", low="low").alias("e"))
     return x.select("id", "e.escalate", "e.reason", F.round("e.confidence", 4).alias("confidence"), F.array_join("e.names", ",").alias("names"))
 
 

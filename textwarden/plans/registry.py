@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.spread import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -28,6 +30,11 @@ def read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def texts(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    """As read, with enough parts for costly work on each row."""
+    return spread(read(spark, d, table, *columns))
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
