@@ -82,6 +82,10 @@ class Tagger:
             s = sigmoid(z[..., : 3 * hidden])
             c = s[..., hidden : 2 * hidden] * c + s[..., :hidden] * g
             h = s[..., 2 * hidden :] * np.tanh(c)
+            # padding leaves no trace in the backward state: a window's scores don't depend on what it is batched with
+            real = (ids[:, length - 1 - t] > 0)[:, None]
+            h[1] *= real
+            c[1] *= real
             out[0, t], out[1, length - 1 - t] = h[0], h[1]
         both = np.concatenate([out[0], out[1]], -1)
         return (both.reshape(length * n, -1) @ self.w["wo"] + self.w["bo"]).reshape(length, n, -1).transpose(1, 0, 2)

@@ -237,6 +237,9 @@ def _loss(w, ids, tags, mask, allowed, hidden):
         c = s[..., hidden : 2 * hidden] * c + s[..., :hidden] * g
         tc = np.tanh(c)
         h = s[..., 2 * hidden :] * tc
+        real = (ids[:, length - 1 - t] > 0)[:, None]  # as in the tagger: padding leaves no trace
+        h[1] *= real
+        c[1] *= real
         hs.append(h), cs.append(c), gates.append((s, g)), tcs.append(tc)
     seq = np.stack(hs[1:])  # L, 2, n, h
     both = np.concatenate([seq[:, 0], seq[::-1, 1]], -1)  # L, n, 2h
@@ -281,6 +284,9 @@ def _loss(w, ids, tags, mask, allowed, hidden):
     for t in range(length - 1, -1, -1):
         (s, g), tc = gates[t], tcs[t]
         dh = dh + d_seq[t]
+        real = (ids[:, length - 1 - t] > 0)[:, None]
+        dh[1] *= real
+        dc[1] *= real
         i, f, o = s[..., :hidden], s[..., hidden : 2 * hidden], s[..., 2 * hidden :]
         dc = dc + dh * o * (1 - tc * tc)
         dz = np.concatenate([dc * g * i * (1 - i), dc * cs[t] * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], -1)
