@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import abuse, formatting, language, leak, lookalike, mixture, overlap, pieces, pii
-from .util import table
+from .util import by_key, table
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """One row per record: whole-row repeats meet by key before anything costly."""
-    return table(spark, d, "gold_v1", "id", "text").dropDuplicates(["id"])
+    return by_key(table(spark, d, "gold_v1", "id", "text"), "id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    gold = table(spark, d, "gold_v1", "id", "text", "labels", "metadata").dropDuplicates(["id"])
+    gold = by_key(table(spark, d, "gold_v1", "id", "text", "labels"), "id")
     return abuse.score(gold, abuse.fit(gold))
 
 
@@ -56,7 +56,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, language.PPM]:
-    gold = table(spark, d, "gold_v1", "id", "text", "lang").dropDuplicates(["id"])
+    gold = by_key(table(spark, d, "gold_v1", "id", "text", "lang"), "id")
     return gold, language.fit(gold)
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions.spread import spread  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -55,38 +54,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Gives every core work where a scan of few files would not (rows only move where the input has too few parts).
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, spread over all cores by that key in the one shuffle that the dedupe needs anyway.
 
-    Used before costly Python stages on tables whose rows are short: a file part of
-    16 MB holds several minutes of such work.
+    Python stages on short texts cost far more than reading them: a part of 16 MB would hold
+    minutes of work, so the number of parts is fixed here instead of left to their bytes.
     """
     spark = df.sparkSession
-    wanted = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(wanted)
-
-
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """``mapInPandas`` with one set-up per task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = make()
-        for pdf in batches:
-            if len(pdf):
-                yield each(pdf)
-
-    return df.mapInPandas(run, schema)
-
-
-def distinct_records(df: DataFrame, key: str) -> DataFrame:
-    """Whole-row repeats of one key count once; which of equal keys' texts stays is the smallest."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(*(F.min(c).alias(c) for c in rest)) if len(rest) == 1 else df.dropDuplicates()
-
-
-def sample(df: DataFrame, key: str, most: int) -> list:
-    """At most ``most`` rows, the same ones at every run: those whose hashed key is smallest."""
-    return df.orderBy(F.xxhash64(key), key).limit(most).collect()
+    parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key).dropDuplicates([key])
 
 
 def package_path(*parts: str) -> str:
