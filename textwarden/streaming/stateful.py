@@ -8,6 +8,7 @@ form (``applyInPandas``) and the streaming form (``transformWithStateInPandas``
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -152,7 +153,7 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if mode != "append":
         w.format("memory").start().awaitTermination()
         return spark.table(name)
-    root = shared_folder(spark) + "/" + name
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"  # a run never meets an earlier run's state
     w.format("parquet").option("path", root + "/rows").option("checkpointLocation", root + "/state").start().awaitTermination()
     return spark.read.schema(df.schema).parquet(root + "/rows")
 
