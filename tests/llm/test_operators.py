@@ -157,3 +157,40 @@ def test_json_records(spark):
     b = json.dumps({"source": None, "category": "Y", "label": "x", "text": "a, B!"}, indent=2)
     df = spark.createDataFrame([("1", a), ("2", b), ("3", a[:-3]), ("4", None)], "k string, body string").select("k", formatting.canonical_json_udf("body").alias("canon"))
     assert sorted((x.key_a, x.k) for x in formatting.members(df, "k", "canon").collect()) == [("1", "1"), ("1", "2")]
+
+
+def near_by_brute_force(rows):
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(zip(b, row, row[1:], strict=False), lambda left, t: t[1] + 1 if t[0] == x else max(left, t[2]), initial=0)][1:]
+        return row[-1]
+
+    out = set()
+    for (ka, a, sa), (kb, b, sb) in itertools.product(rows, rows):
+        if sa == "train" and sb == "val":
+            wa, wb = a.split(" "), b.split(" ")
+            size = max(len(wa), len(wb))
+            if size - lcs(wa, wb) <= size / 6:
+                out.add((ka, kb))
+    return out
+
+
+@pytest.mark.parametrize("most", [2, 100, 20_000])
+def test_overlaps_of_many_reworded_copies(spark, monkeypatch, most):
+    """Every word of the text is hot, and the changes leave runs of two to five words."""
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(72)]
+    rows = []
+    for k in range(160):
+        w, first = list(base), r.randrange(6)
+        for i in range(first, 72, 6 if k % 2 else 12):
+            w[i] = f"odd{r.randint(0, 30)}"
+        if k % 3 == 0:  # a moved word breaks the run in two places
+            for _ in range(r.randint(1, 8)):
+                w.insert(r.randrange(72), w.pop(r.randrange(72)))
+        rows.append((f"{k:03d}", " ".join(w), "train" if k % 5 else "val"))
+    monkeypatch.setattr(overlap, "MOST_PAIRS", most)
+    found = overlap.overlaps(spark.createDataFrame(rows, "record_id string, text string, split string")).collect()
+    want = near_by_brute_force(rows)
+    assert {(x.train_key, x.eval_key) for x in found} == want and len(want) > 500

@@ -1,16 +1,18 @@
 """Problem 3: the same or nearly the same record on both sides of a split.
 
-Winnowing: in every window of ``W`` successive word k-grams one is selected, the one with
-the rarest word (by a count sketch of fixed size) and then the smallest hash; two texts
-that share a run of k + W - 1 words therefore share a selected gram. Selected grams are
-joined across the sides. A gram of too many pairs is not joined itself: the longer grams
-around it are, and the longest without any limit. The seeds of a pair are chained
-collinearly, extended word by word, and the gaps aligned.
+Prefix filtering: all words, repeated ones told apart, have one order, the rarest first (by
+a count sketch of fixed size). Two texts of which at most e words differ share a word among
+the e + 1 rarest of each, and their first l shared words stand among the e + l rarest of
+each. Texts are joined by one such word; where a word makes too many pairs, by it and a
+second one, then a third. Every level is exact, so the number of pairs decides only how
+texts meet. Length and word signature bound the difference inside the join, and the words
+of what is left are aligned.
 """
 
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,10 +22,12 @@ from pyspark.sql import functions as F
 from .leak import words
 from .util import spread, stored
 
-K, W = 3, 3
-LONGER, LONGEST = 8, 14  # words of the grams that stand in for a gram of too many pairs
-#: A gram of more pairs than this is joined by its longer grams instead.
-MOST_PAIRS = 2_500
+K, W = 3, 3  # of select()
+#: Words of more pairs than this are joined together with a further word instead, up to DEPTH words. It changes no result.
+MOST_PAIRS = 20_000
+DEPTH = 3
+#: Parts into which the pairs of one key are cut at the last depth, where their number has no limit.
+PARTS = 16
 #: Cells of the sketch of word counts; its size does not depend on the data.
 SKETCH = 1 << 18
 DIFFER = 1 / 6
@@ -62,7 +66,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def select(h: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Positions of the selected k-grams. Texts of fewer than k words have the one gram of all their words."""
+    """Winnowing, which the join no longer uses: positions of the selected k-grams. Texts of fewer than k words have the one gram of all their words."""
     n = len(h) - K + 1
     if n <= 0:
         return np.zeros(min(1, len(h)), int)
@@ -169,44 +173,71 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _seeds(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
+def _rarest(h: np.ndarray, rarity: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` rarest words in the order of all texts; the second, third ... of a repeated word are words of their own."""
+    by = np.argsort(h, kind="stable")
+    same = h[by]
+    first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    own = _mix(same + nth.astype(np.uint64) * _SEED)
+    order = np.lexsort((own, rarity[(same % np.uint64(SKETCH)).astype(np.int64)]))
+    return (own[order[:most]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _may(n: F.Column, differ: float) -> F.Column:
+    return F.floor(n * differ + 1e-9).cast("int")
+
+
+def _prefixes(texts: DataFrame, rarity: np.ndarray, differ: float, depth: int) -> DataFrame:
+    """Texts with their signature and their e + depth rarest words."""
     sent = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
         kept = _Hash()
         for pdf in batches:
-            out: dict[str, list] = {x: [] for x in ("c", "train", "eval", "n", "pos", "g", "left", "right", "wide", *SIGNATURE)}
-            for c, tr, ev, w in zip(pdf["c"], pdf["train"], pdf["eval"], pdf["w"], strict=True):
-                h = hashes(w.split(" "), kept)
-                at = select(h, sent.value)
-                long_, wide = grams(h, LONGER), grams(h, LONGEST)
-                out["pos"].append(at)
-                out["g"].append((grams(h, K) if len(h) >= K else grams(h, len(h)))[at])
-                out["right"].append(long_[at])
-                out["left"].append(long_[np.maximum(0, at + K - LONGER)])
-                out["wide"].append(wide[np.maximum(0, at - (LONGEST - K) // 2)])
-                for name, v in (("c", c), ("train", tr), ("eval", ev), ("n", len(h)), *zip(SIGNATURE, signature(h), strict=True)):
-                    out[name] += [v] * len(at)
-            cols = {k: (np.concatenate(v) if k in ("pos", "g", "left", "right", "wide") else v) for k, v in out.items()}
-            yield pd.DataFrame({k: v.view(np.int64) if k in ("g", "left", "right", "wide") else v for k, v in cols.items()})
-
-    return texts.mapInPandas(run, "c binary, train boolean, eval boolean, n int, pos int, g long, left long, right long, wide long, s0 long, s1 long, s2 long, s3 long")
-
-
-def _meet(seeds: DataFrame, key: str) -> DataFrame:
-    """Seeds with the number of pairs that their gram would make."""
-    n = seeds.groupBy(key).agg(F.count_if("train").alias("nt"), F.count_if("eval").alias("ne")).where("nt > 0 and ne > 0").select(key, (F.col("nt") * F.col("ne")).alias("pairs"))
-    return seeds.join(n, key)
-
-
-def _joined(seeds: DataFrame, key: str) -> DataFrame:
-    """Pairs of one gram, as far as lengths and signatures allow the two texts to be near: both bounds are exact."""
-    a = seeds.where("train").select(F.col(key).alias("g"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), *[F.col(s).alias(f"a{s}") for s in SIGNATURE])
-    b = seeds.where("eval").select(F.col(key).alias("g"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *[F.col(s).alias(f"b{s}") for s in SIGNATURE])
-    may = F.floor(F.greatest("na", "nb") * DIFFER + 1e-9)
+            hs = [hashes(w.split(" "), kept) for w in pdf["w"]]
+            out = {"c": pdf["c"], "train": pdf["train"], "eval": pdf["eval"], "n": [len(h) for h in hs]}
+            out["words"] = [_rarest(h, sent.value, int(len(h) * differ + 1e-9) + depth) for h in hs]
+            yield pd.DataFrame(out | dict(zip(SIGNATURE, np.array([signature(h) for h in hs], np.int64).reshape(-1, 4).T, strict=True)))
+
+    return texts.mapInPandas(run, "c binary, train boolean, eval boolean, n int, words array<int>, s0 long, s1 long, s2 long, s3 long")
+
+
+def _meet(level: DataFrame, depth: int, differ: float) -> DataFrame:
+    """Each text once for every further word of its prefix at this depth, with the number of pairs that the key g would make."""
+    next_ = F.posexplode(F.slice("words", F.col("at") + 2, _may(F.col("n"), differ) + depth - F.col("at") - 1)).alias("x", "word")
+    rows = level.select("c", "train", "eval", "n", *SIGNATURE, "words", "g", "at", next_)
+    rows = rows.select("c", "train", "eval", "n", *SIGNATURE, "words", F.xxhash64("g", "word").alias("g"), (F.col("at") + 1 + F.col("x")).alias("at"))
+    n = rows.groupBy("g").agg(F.count_if("train").alias("nt"), F.count_if("eval").alias("ne")).where("nt > 0 and ne > 0").select("g", (F.col("nt") * F.col("ne")).alias("pairs"))
+    return rows.join(n, "g")
+
+
+def _joined(rows: DataFrame, differ: float, parts: int = 1) -> DataFrame:
+    """Pairs of one key, as far as lengths and signatures allow the two texts to be near: both bounds are exact."""
+    a = rows.where("train").select("g", F.pmod(F.xxhash64("c"), F.lit(parts)).cast("int").alias("part"), F.col("c").alias("ca"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in SIGNATURE])
+    b = rows.where("eval").select("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("c").alias("cb"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in SIGNATURE])
+    may = _may(F.greatest("na", "nb"), differ)
     bits = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in SIGNATURE[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
     near = (F.abs(F.col("na") - F.col("nb")) <= may) & (bits <= 2 * may)
-    return a.join(b, "g").where(near & (F.col("ca") != F.col("cb"))).select("ca", "cb", "pa", "pb")
+    return a.join(b, ["g", "part"]).where(near & (F.col("ca") != F.col("cb"))).select("ca", "cb")
+
+
+def _candidates(texts: DataFrame, differ: float) -> DataFrame:
+    """(ca, cb) of all texts that may be near; a pair may come several times."""
+    # the least texts that may differ at all have so many words in common, so no pair ends before the last depth
+    least = int(np.ceil(1 / differ - 1e-9)) if differ > 0 else DEPTH + 1
+    depth = max(1, min(DEPTH, least - int(least * differ + 1e-9)))
+    level = stored(_prefixes(texts, _rarity(texts), differ, depth)).withColumns({"g": F.lit(0).cast("long"), "at": F.lit(-1)})
+    found = []
+    for k in range(1, depth + 1):
+        met = stored(_meet(level, k, differ))
+        found.append(_joined(met.where(F.col("pairs") <= MOST_PAIRS), differ))
+        level = met.where(F.col("pairs") > MOST_PAIRS).drop("pairs")
+        if level.isEmpty():
+            break
+    else:
+        found.append(_joined(level, differ, PARTS))
+    return reduce(DataFrame.unionByName, found)
 
 
 def overlaps(df: DataFrame, key: str = "record_id", text: str = "text", split: str = "split", differ: float = DIFFER, checked: bool = True) -> DataFrame:
@@ -222,28 +253,19 @@ def overlaps(df: DataFrame, key: str = "record_id", text: str = "text", split: s
     rows = stored(named.groupBy("c", "k", "side").agg(F.first("w").alias("w")))
     members = rows.select("c", "k", "side")
     texts = stored(rows.groupBy("c").agg(F.max(F.col("side") == "train").alias("train"), F.max(F.col("side") == "eval").alias("eval"), F.first("w").alias("w")))
-    seeds = stored(_seeds(texts, _rarity(texts)))
-    met = stored(_meet(seeds, "g"))
-    few, many = met.where(F.col("pairs") <= MOST_PAIRS), met.where(F.col("pairs") > MOST_PAIRS).drop("pairs")
-    found = _joined(few, "g")
-    longer = many.select("c", "train", "eval", "n", *SIGNATURE, F.explode(F.array(F.struct("left", F.greatest(F.lit(0), F.col("pos") + K - LONGER).alias("p"), "wide", "pos"), F.struct(F.col("right").alias("left"), F.col("pos").alias("p"), "wide", "pos"))).alias("x")).select("c", "train", "eval", "n", *SIGNATURE, F.col("x.left").alias("g2"), F.col("x.p").alias("pos"), F.col("x.wide").alias("wide"), F.col("x.pos").alias("at")).distinct()
-    met = stored(_meet(longer, "g2"))
-    found = found.unionByName(_joined(met.where(F.col("pairs") <= MOST_PAIRS), "g2"))
-    widest = met.where(F.col("pairs") > MOST_PAIRS).select("c", "train", "eval", "n", *SIGNATURE, F.col("wide"), F.greatest(F.lit(0), F.col("at") - (LONGEST - K) // 2).alias("pos")).distinct()
-    found = found.unionByName(_joined(widest, "wide"))
-    pairs = found.groupBy("ca", "cb").agg(F.collect_set(F.struct("pa", "pb")).alias("seeds"))
+    pairs = _candidates(texts, differ).distinct()
     pairs = pairs.join(texts.select(F.col("c").alias("ca"), F.col("w").alias("wa")), "ca").join(texts.select(F.col("c").alias("cb"), F.col("w").alias("wb")), "cb")
 
     def verify(batches):
         for pdf in batches:
             out = []
-            for ca, cb, seeds, wa, wb in zip(pdf["ca"], pdf["cb"], pdf["seeds"], pdf["wa"], pdf["wb"], strict=True):
+            for ca, cb, wa, wb in zip(pdf["ca"], pdf["cb"], pdf["wa"], pdf["wb"], strict=True):
                 a, b = wa.split(" "), wb.split(" ")
                 size = max(len(a), len(b))
                 # words in common bound what an alignment can match
                 if checked and len(set(a) ^ set(b)) > 2 * (size * differ) + 1e-9:
                     continue
-                m = align(a, b, [(s["pa"], s["pb"]) for s in seeds])
+                m = align(a, b, [])
                 if size - m <= size * differ + 1e-9:
                     out.append((ca, cb, m, size))
             yield pd.DataFrame(out, columns=["ca", "cb", "matched", "longer"])
