@@ -194,3 +194,23 @@ def test_overlaps_of_many_reworded_copies(spark, monkeypatch, most):
     found = overlap.overlaps(spark.createDataFrame(rows, "record_id string, text string, split string")).collect()
     want = near_by_brute_force(rows)
     assert {(x.train_key, x.eval_key) for x in found} == want and len(want) > 500
+
+
+def test_overlaps_of_short_texts_by_brute_force(spark):
+    r = random.Random(22)
+    rows = [("a0", "one two three four five six seven eight", "train"), ("b0", "one two three fuor five six seven eight", "val")]
+    for n in range(5, 26):
+        for k in range(4):
+            w = [f"{n}w{r.randint(0, 3 * n)}" for _ in range(n)]
+            rows.append((f"t{n:02d}{k}", " ".join(w), "train"))
+            for e in range(n // 6 + 2):
+                x = list(w)
+                for i in range(e):  # evenly spread, so that the shared runs are short
+                    x[(2 * i + 1) * n // (2 * e)] = f"new{r.randint(0, 10**9)}"
+                rows.append((f"e{n:02d}{k}{e}", " ".join(x), "val"))
+            x = list(w)
+            x.insert(r.randrange(n), x.pop(r.randrange(n)))
+            rows.append((f"m{n:02d}{k}", " ".join(x), "val"))
+    found = overlap.overlaps(spark.createDataFrame(rows, "record_id string, text string, split string")).collect()
+    want = near_by_brute_force(rows)
+    assert {(x.train_key, x.eval_key) for x in found} == want and ("a0", "b0") in want and ("t183", "e1833") in want
