@@ -151,6 +151,22 @@ def test_alignment_equals_the_longest_common_subsequence():
     assert overlap.align(["a"], ["b"], []) == 0
 
 
+def test_alignment_is_exact_with_repeated_phrases():
+    r = random.Random(15)
+    for _ in range(400):
+        phrase = [str(r.randint(0, 3)) for _ in range(6)]
+        a = [str(r.randint(0, 3)) for _ in range(10)]
+        for _ in range(3):
+            a += [*phrase, *[str(r.randint(0, 40)) for _ in range(8)]]
+        b = list(a)
+        for _ in range(r.randint(4, 13)):
+            i = r.randrange(len(b))
+            r.choice([lambda: b.pop(i), lambda: b.insert(i, "x"), lambda: b.__setitem__(i, "y"), lambda: b.insert(r.randrange(len(b)), b.pop(i))])()
+        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
+        assert overlap.align(a, b, seeds) == overlap._lcs(a, b)
+    assert overlap.align([], ["a"], []) == overlap.align(["a"], [], []) == 0
+
+
 def test_winnowing_guarantee():
     r = random.Random(6)
     rarity = np.random.default_rng(0).integers(0, 50, overlap.SKETCH)
