@@ -152,6 +152,15 @@ def test_language_and_abuse_operators(spark):
     assert abuse.rates(abuse.score(df, index).selectExpr("score", "cast(null as string) source")).collect()[0].records == len(rows)
 
 
+def test_segments_keep_short_sentences(spark):
+    texts = {"en": "the parcel was late in the town on Friday. Version 4.11.5 fixed it. 12:30! Why?", "hi": "मेरा फ़ोन ख़राब था और मुझे अच्छा नहीं लगा। ठीक है।"}
+    df = spark.createDataFrame([(c, t, c) for c, t in texts.items()], "id string, text string, lang string")
+    model = language.train([(c, t) for c, t in texts.items()] * 2)
+    got = sorted((x.id, x.segment, x.text) for x in language.segments_of(df, model).collect())
+    assert [x[:2] for x in got] == [("en", 0), ("en", 1), ("en", 2), ("hi", 0), ("hi", 1)]
+    assert [x[2] for x in got[1:3]] == ["Version fixed it.", "Why?"]
+
+
 def test_json_records(spark):
     a = json.dumps({"text": "A b", "label": "x", "category": "y", "source": None})
     b = json.dumps({"source": None, "category": "Y", "label": "x", "text": "a, B!"}, indent=2)

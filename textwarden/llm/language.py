@@ -88,12 +88,13 @@ class Judge:
     def __init__(self, model: PPM):
         self.model = model
 
-    def __call__(self, texts: list[str | None]) -> list[list[tuple[str, str, float, int]]]:
-        """Per text: (segment, language, confidence, letters) of its whole sentences, or of the whole text if it has none."""
+    def __call__(self, texts: list[str | None], every: bool = False) -> list[list[tuple[str, str, float, int]]]:
+        """Per text: (segment, language, confidence, letters) of its whole sentences, or of the whole text if it has none.
+        With ``every``, of each segment that has a letter."""
         segs, owner = [], []
         for k, t in enumerate(texts):
             own = segments(t)
-            good = [s for s in own if whole(s)] or ([" ".join(own)] if own else [])
+            good = [s for s in own if _LETTERS.search(s)] if every else [s for s in own if whole(s)] or ([" ".join(own)] if own else [])
             segs += good
             owner += [k] * len(good)
         bits = self.model.score([s.lower() for s in segs])
@@ -155,13 +156,13 @@ def identify(df: DataFrame, model: PPM, key: str = "id", text: str = "text", lan
 
 
 def segments_of(df: DataFrame, model: PPM, key: str = "id", text: str = "text") -> DataFrame:
-    """One row per segment: id, segment (from 0), text, true_lang, confidence."""
+    """One row per segment, however short: id, segment (from 0), text, true_lang, confidence. One without a letter has no language and no row."""
     judge = df.sparkSession.sparkContext.broadcast(Judge(model))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for k, found in zip(pdf["k"], judge.value(pdf["t"].tolist()), strict=True):
+            for k, found in zip(pdf["k"], judge.value(pdf["t"].tolist(), every=True), strict=True):
                 rows += [(k, i, s, c, conf) for i, (s, c, conf, *_) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["id", "segment", "text", "true_lang", "confidence"])
 
