@@ -122,6 +122,14 @@ def test_ppm_code_lengths_by_hand():
         assert np.allclose(m.score([s])[0], [slow("x", s), slow("y", s)], atol=1e-3), s
 
 
+@pytest.mark.parametrize("order", [0, 1, 4])
+def test_ppm_code_length_of_a_segment_depends_on_nothing_but_the_segment(order):
+    m = PPM({"x": ["abab", "abba", "b"], "y": ["zz", "zaz"]}, order=order)
+    segments = ["ab", "zz", "", "q", "bab", "zaza", "a"]
+    alone = np.concatenate([m.score([s]) for s in segments])
+    assert (m.score(segments) == alone).all() and (m.score(segments[::-1])[::-1] == alone).all()
+
+
 def test_open_addressing_finds_all_and_only():
     keys = np.unique(np.random.default_rng(0).integers(1, 2**62, 5000).astype(np.uint64))
     t = Table(keys)

@@ -109,11 +109,13 @@ class PPM:
         return out
 
     def score(self, segments: list[str]) -> np.ndarray:
-        """Bits of each segment under each class."""
+        """Bits of each segment under each class. ``order`` zero bytes, which are not counted, keep the segments out of each other's contexts."""
         parts = [("\n" + s + "\n").encode("utf-8", "surrogatepass") for s in segments]
         if not parts:
             return np.zeros((0, len(self.classes)), np.float32)
-        data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-        ends = np.cumsum([len(p) for p in parts])
-        starts = ends - [len(p) for p in parts]
-        return np.add.reduceat(self.bits(data), starts, axis=0)
+        gap = bytes(self.order)
+        data = np.frombuffer(gap + gap.join(parts), np.uint8).astype(np.uint64)
+        sizes = np.array([len(p) for p in parts])
+        starts = np.cumsum(sizes + self.order) - sizes
+        bounds = np.stack([starts, starts + sizes], 1).ravel()[:-1]  # sums of the segments and of the gaps after them
+        return np.add.reduceat(self.bits(data), bounds, axis=0)[::2]
