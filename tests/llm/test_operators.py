@@ -104,6 +104,19 @@ def test_leak_find_and_clean(spark, monkeypatch):
     assert leak.find(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 500_000])
+def test_leak_clean_cuts_overlapping_passages_of_several_indexes(spark, monkeypatch, most):
+    w = [f"w{i}" for i in range(24)]
+    docs = spark.createDataFrame([(1, " ".join(["before", *w[:22], "after"]), "a"), (2, None, "b"), (3, "Kept, as it is.", None), (4, " ".join([*w[:6], *w[:14], *w[6:12]]), "d")], "doc_id long, text string, _hits string")
+    items = spark.createDataFrame([(10, " ".join(w[:14])), (11, " ".join(w[8:22])), (12, "other " * 20)], "item_id long, text string")
+    monkeypatch.setattr(leak, "MAX_NGRAMS", most)
+    assert len(leak._indexes(items, "item_id", "text", 12)) == (3 if most == 1 else 1)
+    got = {r.doc_id: (r.text, r._hits) for r in leak.clean(docs, items).collect()}
+    # the words around a removed passage are no passage themselves
+    assert got == {1: ("before after", "a"), 2: (None, "b"), 3: ("Kept, as it is.", None), 4: (" ".join(w[:12]), "d")}
+    assert sorted(r.doc_id for r in leak.clean(docs, items, mode="documents").collect()) == [2, 3]
+
+
 def test_mixture_shares_and_caps(spark):
     r = random.Random(3)
     rows = [(i, "word " * r.randint(20, 60), s, r.choice(["en", "hi", None])) for i, s in enumerate(["a"] * 600 + [" B "] * 150 + ["c"] * 100 + [None] * 20 + ["other"] * 30)]

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 N_WORDS = 12
 #: Most n-grams that are sent to the tasks at once (about 100 bytes each). More items are scanned for in several passes.
@@ -131,22 +132,30 @@ def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
     ``spans`` keeps every row and column; a text with a hit comes back as its remaining words, one space between.
     """
     context = docs.sparkSession.sparkContext
+    indexes = _indexes(items, item, item_text, n)
+    held = "_hits"  # of the indexes so far; every index reads the stored text, and the last one cuts
+    while held in docs.columns:
+        held += "_"
+    more = StructType([*docs.schema.fields, StructField(held, ArrayType(IntegerType()))])
     out = docs
-    for index in _indexes(items, item, item_text, n):
-        sent = context.broadcast(index)
+    for k, index in enumerate(indexes):
+        sent, first, last = context.broadcast(index), k == 0, k == len(indexes) - 1
 
-        def run(batches, sent=sent):
+        def run(batches, sent=sent, first=first, last=last):
             for pdf in batches:
-                texts, keep = [], []
-                for t in pdf[text]:
-                    at = sorted({i for i, _ in sent.value.hits(t)})
-                    keep.append(not at)
+                before = [()] * len(pdf) if first else pdf.pop(held)
+                hits = [sorted({*b, *(i for i, _ in sent.value.hits(t))}) for b, t in zip(before, pdf[text], strict=True)]
+                if not last:
+                    yield pdf.assign(**{held: hits})
+                    continue
+                texts = []
+                for t, at in zip(pdf[text], hits, strict=True):
                     if at:
                         w = words(t)
                         gone = {j for i in at for j in range(i, i + sent.value.n)}
                         t = " ".join(x for j, x in enumerate(w) if j not in gone)
                     texts.append(t)
-                yield pdf[np.array(keep, bool)] if mode == "documents" else pdf.assign(**{text: texts})
+                yield pdf[np.array([not at for at in hits], bool)] if mode == "documents" else pdf.assign(**{text: texts})
 
-        out = out.mapInPandas(run, docs.schema)
+        out = out.mapInPandas(run, docs.schema if last else more)
     return out
