@@ -225,6 +225,34 @@ def test_pieces_cover_overlap_and_fit():
         pieces.cut("a b", 10, 5)
 
 
+def test_pieces_have_the_least_sum_over_all_boundaries():
+    r = random.Random(7)
+    most, overlap_ = 40, 4
+    texts = ["".join(r.choice(["parcel", "late", "seller", "again", "town", "xqzvkjw"]) + r.choice([" ", " ", " ", ", ", ", ", ". ", "\n", "; "]) for _ in range(r.randint(60, 160))) for _ in range(8)]
+    texts += ["".join("late" + (", " if i % 11 == 10 else " ") for i in range(n)) for n in range(60, 76)]  # one cut at a word or two at clauses
+    for text in texts:
+        ids = encode(text)
+        n = len(ids)
+        starts = [0, *np.cumsum([len(b) for b in pieces.encoding(pieces.DEFAULT).decode_tokens_bytes(ids)]).tolist()]
+        penalty = [pieces.INSIDE] * (n + 1)
+        for cost, pattern in pieces.LEVELS:
+            for m in pattern.finditer(text):
+                i = next((starts.index(c) for c in (m.end(), m.end() - 1, m.start()) if c in starts and 0 < starts.index(c) < n), None)
+                if i is not None:
+                    penalty[i] = min(penalty[i], cost)
+        k = max(2, -(-(n - overlap_) // (most - overlap_)))
+        ideal = (n + (k - 1) * overlap_) / k
+
+        def piece(i, j):
+            return pieces.IMBALANCE * ((j - max(0, i - overlap_) - ideal) / ideal) ** 2 + (penalty[j] if j < n else 0)
+
+        best = [0.0] + [np.inf] * n
+        for j in range(1, n + 1):
+            best[j] = min((best[i] + piece(i, j) for i in range(j) if j - max(0, i - overlap_) <= most), default=np.inf)
+        ends = [0] + [starts.index(b) for _, b, _ in pieces._plan(text, ids, most, overlap_, pieces.DEFAULT)]
+        assert abs(sum(piece(i, j) for i, j in zip(ends, ends[1:], strict=False)) - best[n]) < 1e-9
+
+
 def test_rake_meets_the_source_marginal():
     g = np.random.default_rng(4)
     x = pd.DataFrame([(s, lang, t, int(g.integers(1, 1000))) for s in "abc" for lang in ("en", "hi") for t in ("p", "q")], columns=["source", "lang", "topic", "tokens"])

@@ -1,6 +1,6 @@
 """Problem 9: texts above a token limit cut at natural boundaries.
 
-Dynamic programming over boundary positions: the sum of cut penalties and of squared
+Dynamic programming over all whole characters at which a token begins: the sum of cut penalties and of squared
 deviations from an even piece size is least, no piece exceeds the limit, and each piece
 begins the wanted number of tokens before the end of the one before.
 """
@@ -58,40 +58,32 @@ def _plan(text: str, ids: list[int], most: int, overlap: int, path: str) -> list
     token_of = {int(c): i for i, c in enumerate(token_char) if c >= 0}
     penalty = np.full(n + 1, INSIDE)
     penalty[~whole] = np.inf
-    # finer boundaries only where coarser ones leave wide gaps
-    known: list[int] = [0, n]
     for cost, pattern in LEVELS:
-        fresh = []
-        gaps = np.array(sorted(set(known)))
-        if cost >= 2 and np.diff(gaps).max() <= (most - overlap) // 3:
-            break
         for m in pattern.finditer(text):
             for c in (m.end(), m.end() - 1, m.start()):  # a token may hold the space before its word
                 i = token_of.get(c)
                 if i is not None and 0 < i < n:
-                    if penalty[i] > cost:
-                        k = np.searchsorted(gaps, i)
-                        if cost < 2 or gaps[k] - gaps[k - 1] > (most - overlap) // 3:
-                            penalty[i] = cost
-                            fresh.append(i)
+                    penalty[i] = min(penalty[i], cost)
                     break
-        known += fresh
-    gaps = np.array(sorted(set(known)))
-    extra = [i for a, b in zip(gaps, gaps[1:], strict=False) if b - a > (most - overlap) // 3 for i in range(a + 1, b) if whole[i]]
-    at = np.array(sorted({*known, *extra}))
+    at = np.flatnonzero(whole)
     back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))  # nearest whole character before
     begin = np.array([0] + [back[max(0, a - overlap)] for a in at[1:]])  # where a piece after the cut begins
     k = max(2, -(-(n - overlap) // (most - overlap)))
     ideal = (n + (k - 1) * overlap) / k
-    best, prev = np.full(len(at), np.inf), np.full(len(at), -1)
-    best[0] = 0
+    # the deviation of a piece, c (x - y)^2 with x where it ends and y its begin + ideal, is c y^2 - 2 c x y + c x^2
+    c = IMBALANCE / ideal**2
+    y = begin + ideal
+    still = c * y**2
+    lows = np.minimum(np.searchsorted(begin, at - most, "left"), np.arange(len(at)))
+    base, prev = np.full(len(at), np.inf), np.full(len(at), -1)
+    base[0] = still[0]
     for j in range(1, len(at)):
-        lo = np.searchsorted(begin[:j], at[j] - most, "left") if j else 0
-        size = at[j] - begin[lo:j]
-        cost = best[lo:j] + IMBALANCE * ((size - ideal) / ideal) ** 2
-        if len(cost):
+        lo, x = lows[j], at[j]
+        if lo < j:
+            cost = y[lo:j] * (-2 * c * x)
+            cost += base[lo:j]
             i = int(cost.argmin())
-            best[j] = cost[i] + (0 if j == len(at) - 1 else penalty[at[j]])
+            base[j] = cost[i] + c * x * x + penalty[x] + still[j]
             prev[j] = lo + i
     cuts, j = [], len(at) - 1
     while j > 0:
