@@ -225,6 +225,19 @@ def test_pieces_cover_overlap_and_fit():
         pieces.cut("a b", 10, 5)
 
 
+def test_long_runs_have_the_plain_tokens_and_pieces_stay_within_the_limit():
+    r = random.Random(11)
+    run = "".join(r.choices("abcdefghijklmnop=-", k=10_000))
+    text = "The parcel was late. " * 200 + run + " again and again. " * 300
+    assert encode(text) == pieces.encoding().encode_ordinary(text)
+    for most, over in ((8, 3), (12, 0), (64, 20), (500, 50)):
+        for t in (text, "👩‍👩‍👧" * 60, "ॐ" * 500, run):
+            out = pieces.cut(t, most, over)
+            assert out[0][0] == 0 and out[-1][1] == len(t) and all(len(encode(t[a:b])) == n <= most for a, b, n in out)
+            assert all(a < c <= b < d for (a, b, _), (c, d, _) in zip(out, out[1:], strict=False))
+    assert pieces._greedy(text, 64, 20, pieces.DEFAULT)[-1][1] == len(text)
+
+
 def test_pieces_have_the_least_sum_over_all_boundaries():
     r = random.Random(7)
     most, overlap_ = 40, 4

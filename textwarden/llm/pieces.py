@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import DEFAULT, encode, encoding
+from .tokens import DEFAULT, byte_sizes, encode, encoding  # noqa: F401
 
 #: Penalty of a cut after: a paragraph, a line, a sentence, a clause, a word, anything else.
 LEVELS = ((0.0, re.compile(r"\n[ \t]*\n\s*")), (0.5, re.compile(r"\n\s*")), (1.0, re.compile(r"[.!?।…]+[\"'”’)\]]*\s+")), (4.0, re.compile(r"[,;:–—]\s+")), (8.0, re.compile(r"\s+")))
@@ -25,51 +25,112 @@ IMBALANCE = 6.0
 def cut(text: str, most: int, overlap: int, path: str = DEFAULT) -> list[tuple[int, int, int]]:
     """Pieces (start, end, tokens) in characters; [] for the empty text, one piece if it fits.
 
-    The overlap is ``overlap`` tokens, or the few more that it takes to begin at a whole character.
-    Raises ValueError unless 0 <= overlap < most / 2.
+    No piece, read by itself, has more than ``most`` tokens. The overlap is ``overlap`` tokens, or the
+    few more that it takes to begin at a whole character. Raises ValueError unless 0 <= overlap < most / 2
+    and most >= 8 (one character may take four tokens).
     """
-    if not 0 <= overlap < most / 2:
-        raise ValueError("the overlap must be less than half of the limit")
+    if not 0 <= overlap < most / 2 or most < 8:
+        raise ValueError("the overlap must be less than half of the limit, and the limit at least 8")
     ids = encode(text, path)
     if not ids:
         return []
     if len(ids) <= most:
         return [(0, len(text), len(ids))]
-    for spare in (0, 4, 16, 64):  # a piece read by itself may take a token more than inside the text
-        if most - spare <= 2 * overlap:
-            break
+    spare = 0  # a piece read by itself may take some tokens more than inside the text
+    while most - spare > 2 * overlap + 4:
         out = _plan(text, ids, most - spare, overlap, path)
         sizes = [len(encode(text[a:b], path)) for a, b, _ in out]
         if max(sizes) <= most:
             return [(a, b, n) for (a, b, _), n in zip(out, sizes, strict=True)]
-    return [(a, b, n) for (a, b, _), n in zip(out, sizes, strict=True)]
+        spare = max(2 * spare, max(sizes) - most)
+    return _greedy(text, most, overlap, path)
+
+
+def _greedy(text: str, most: int, overlap: int, path: str) -> list[tuple[int, int, int]]:
+    """Where no plan fits, because the text's tokens change at every cut: each piece as long as it may be, measured by itself."""
+    size = lambda a, b: len(encode(text[a:b], path))
+    out, a, done = [], 0, 0
+    while True:
+        low, high = done + 1, min(len(text), a + 64 * most)  # low: at most overlap + 4 tokens
+        while low < high:
+            b = (low + high + 1) // 2
+            low, high = (b, high) if size(a, b) <= most else (low, b - 1)
+        while low > done + 1 and size(a, low) > most:
+            low -= 1
+        out.append((a, low, size(a, low)))
+        if low == len(text):
+            return out
+        done, a = low, low - 1
+        while overlap and a > 0 and size(a, done) < overlap:
+            a -= 1
+        a = a if overlap else done
+
+
+def _reach(penalty: np.ndarray, window: int) -> np.ndarray:
+    """For each position, what the cuts before it cost at least: any ``window`` positions in a row hold a cut."""
+    n = len(penalty)
+    least = penalty.copy()  # over the ``width`` positions from here on
+    width = 1
+    while width < window:
+        step = min(width, window - width)
+        least[: n - step] = np.minimum(least[: n - step], least[step:])
+        width += step
+    out = np.zeros(n)
+    for a in range(window, n, window):
+        b = min(n, a + window)
+        out[a:b] = out[a - window : b - window] + least[a - window : b - window]
+    return out
 
 
 def _plan(text: str, ids: list[int], most: int, overlap: int, path: str) -> list[tuple[int, int, int]]:
+    """The least sum over all whole characters at which a token begins.
+
+    Positions are left out of the programme only if no plan through them can be the least: the cuts
+    before and after cost at least what each run of ``most`` positions costs at its cheapest one, and
+    a plan over the positions of low bounds says what the least sum is at most.
+    """
     n = len(ids)
-    sizes = np.array([len(b) for b in encoding(path).decode_tokens_bytes(ids)])
-    ends = np.cumsum(sizes)  # byte at which each token ends
+    ends = np.cumsum(byte_sizes(path)[ids])  # byte at which each token ends
     # byte -> character, -1 inside a character
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    first = (raw & 0xC0) != 0x80
-    char_at = np.where(np.append(first, True), np.cumsum(np.append(first, True)) - 1, -1)
+    first = np.append((raw & 0xC0) != 0x80, True)
+    char_at = np.where(first, np.cumsum(first) - 1, -1)
     token_char = np.concatenate([[0], char_at[ends]])  # character at which token i begins; -1 inside a character
     whole = token_char >= 0
-    token_of = {int(c): i for i, c in enumerate(token_char) if c >= 0}
+    token_of = np.full(len(text) + 2, -1)
+    token_of[token_char[whole]] = np.flatnonzero(whole)
     penalty = np.full(n + 1, INSIDE)
     penalty[~whole] = np.inf
     for cost, pattern in LEVELS:
-        for m in pattern.finditer(text):
-            for c in (m.end(), m.end() - 1, m.start()):  # a token may hold the space before its word
-                i = token_of.get(c)
-                if i is not None and 0 < i < n:
-                    penalty[i] = min(penalty[i], cost)
-                    break
-    at = np.flatnonzero(whole)
+        found = np.array([m.span() for m in pattern.finditer(text)], np.int64).reshape(-1, 2)
+        if not len(found):
+            continue
+        i = np.full(len(found), -1)
+        for c in (found[:, 1], found[:, 1] - 1, found[:, 0]):  # a token may hold the space before its word
+            at = token_of[c]
+            i = np.where((i < 0) & (at > 0) & (at < n), at, i)
+        np.minimum.at(penalty, i[i > 0], cost)
+    penalty[[0, n]] = 0
+    bound = penalty + _reach(penalty, most) + _reach(penalty[::-1], most)[::-1]
     back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))  # nearest whole character before
-    begin = np.array([0] + [back[max(0, a - overlap)] for a in at[1:]])  # where a piece after the cut begins
     k = max(2, -(-(n - overlap) // (most - overlap)))
     ideal = (n + (k - 1) * overlap) / k
+    ceiling = max(bound[0], bound[n]) + 1 + k / 8
+    bound[[0, n]] = 0
+    while True:
+        at = np.flatnonzero(whole & (bound <= ceiling))
+        cuts, total = _best(at, back, penalty, most, overlap, ideal)
+        if total <= ceiling:
+            break
+        ceiling = total + 1e-9 if cuts else 2 * ceiling + INSIDE
+        if not cuts and len(at) == whole.sum():
+            raise ValueError(f"no cut fits {most} tokens")
+    return [(int(token_char[b]), int(token_char[e]), int(e - b)) for b, e in cuts]
+
+
+def _best(at: np.ndarray, back: np.ndarray, penalty: np.ndarray, most: int, overlap: int, ideal: float) -> tuple[list[tuple[int, int]], float]:
+    """Dynamic programming over the positions ``at``: (begin, end) of the pieces and their sum; no pieces and infinity if none fit."""
+    begin = np.where(at > 0, back[np.maximum(0, at - overlap)], 0)  # where a piece after the cut begins
     # the deviation of a piece, c (x - y)^2 with x where it ends and y its begin + ideal, is c y^2 - 2 c x y + c x^2
     c = IMBALANCE / ideal**2
     y = begin + ideal
@@ -85,12 +146,16 @@ def _plan(text: str, ids: list[int], most: int, overlap: int, path: str) -> list
             i = int(cost.argmin())
             base[j] = cost[i] + c * x * x + penalty[x] + still[j]
             prev[j] = lo + i
-    cuts, j = [], len(at) - 1
+    j = len(at) - 1
+    total = base[j] - still[j]
+    if not np.isfinite(total):
+        return [], np.inf
+    cuts = []
     while j > 0:
         i = int(prev[j])
-        cuts.append((int(token_char[begin[i]]), int(token_char[at[j]]), int(at[j] - begin[i])))
+        cuts.append((int(begin[i]), int(at[j])))
         j = i
-    return cuts[::-1]
+    return cuts[::-1], float(total)
 
 
 def split(docs: DataFrame, limits: DataFrame, doc: str = "doc_id", text: str = "text", path: str = DEFAULT, texts: bool = True, only_long: bool = False) -> DataFrame:

@@ -8,27 +8,31 @@ import os
 
 #: Where the vocabulary lies unless TEXTWARDEN_TOKENIZER or a parameter says otherwise.
 DEFAULT = os.environ.get("TEXTWARDEN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+# Fixed value: how texts are split before merging, published with this vocabulary. Another vocabulary brings its own.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @functools.lru_cache(4)
-def encoding(path: str = DEFAULT):
-    import public_tokenizers
+def encoding(path: str = DEFAULT, pattern: str = PATTERN):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: A run without white space longer than this is encoded in parts: BPE merges cost more than linear time on such runs.
-RUN = 4_000
+def encode(text: str, path: str = DEFAULT, pattern: str = PATTERN) -> list[int]:
+    """The tokens of the whole text, however long its runs without white space are: the encoder merges a run in n log n steps."""
+    return encoding(path, pattern).encode_ordinary(text)
 
 
-def encode(text: str, path: str = DEFAULT) -> list[int]:
+@functools.lru_cache(4)
+def byte_sizes(path: str = DEFAULT):
+    """Bytes of each token, by its id."""
+    import numpy as np
+
     e = encoding(path)
-    if len(text) <= RUN or max(map(len, text.split()), default=0) <= RUN:
-        return e.encode_ordinary(text)
-    out: list[int] = []
-    for i in range(0, len(text), RUN):
-        out += e.encode_ordinary(text[i : i + RUN])
+    out = np.zeros(e.n_vocab, np.int32)
+    for b in e.token_byte_values():
+        out[e.encode_single_token(b)] = len(b)
     return out
