@@ -96,7 +96,7 @@ def test_leak_find_and_clean(spark, monkeypatch):
     items = spark.createDataFrame([(10, item), (11, "short item"), (12, None)], "item_id long, text string")
     want = [(1, 10, 9), (5, 10, 1)]
     assert sorted(tuple(r) for r in leak.find(docs, items).collect()) == want
-    monkeypatch.setattr(leak, "MAX_NGRAMS", 1)
+    monkeypatch.setattr(leak, "MAX_NGRAMS", 4)
     assert sorted(tuple(r) for r in leak.find(docs, items).collect()) == want
     got = {r.doc_id: r.text for r in leak.clean(docs, items).collect()}
     assert got[1] == "before after" and got[2] == "nothing" and got[3] is None and got[4] == ""
@@ -104,13 +104,36 @@ def test_leak_find_and_clean(spark, monkeypatch):
     assert leak.find(docs, items.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [1, 500_000])
+def test_leak_through_long_tags_and_cut_by_characters():
+    w = [f"w{i}" for i in range(14)]
+    index = leak.Index([(7, " ".join(w))])
+    for size in (20, 260, 5_000):
+        tag = f'<a class="x" href="https://x.example/{"q" * size}" data-k=\'{"v" * size}\'>'
+        text = "Before, <b>it</b> stays. " + " ".join(w[:6]) + f" {tag}" + " ".join(w[6:]).upper() + "</a>, and\n\nAfter!"
+        assert len(index.hits(text)) == 3
+        assert leak.cut_words(text, [i for i, _ in index.hits(text)], 12) == "Before, <b>it</b> stays. </a>, and\n\nAfter!"
+    noted = "<!-- " + "note " * 900 + "-->"
+    assert index.hits(" ".join(w[:5]) + noted + " ".join(w[5:])) and not index.hits(" ".join(w[:5]) + " <!-- " + " ".join(w[5:]).replace("w9", "x"))
+    assert leak.words("a <b and " + "c " * 300 + "> d")[2] == "and"  # no tag: what looks like one has no values and is long
+
+
+def test_word_spans_are_the_words():
+    r = random.Random(12)
+    bits = ["Cafe\u0301", "ＡＢ", "a&amp;b", "&lt;x&gt;", "&nbsp;", "“q”", "<i>", "</i>", "it's", "नमस्ते", "İz", " ", "\n", "\u200b", "&#233;t", "&eacute;", "x-y", "😀", "ﬁ", "한글", "&notanentity", "&", "<", ">"]
+    for _ in range(400):
+        t = "".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(0, 20)))
+        spans = leak.word_spans(t)
+        assert [x for x, *_ in spans] == leak.words(t), t
+        assert all(a < b for _, a, b in spans) and all(b <= c for (_, _, b), (_, c, _) in zip(spans, spans[1:], strict=False))
+
+
+@pytest.mark.parametrize("most", [3, 1_000_000])
 def test_leak_clean_cuts_overlapping_passages_of_several_indexes(spark, monkeypatch, most):
     w = [f"w{i}" for i in range(24)]
     docs = spark.createDataFrame([(1, " ".join(["before", *w[:22], "after"]), "a"), (2, None, "b"), (3, "Kept, as it is.", None), (4, " ".join([*w[:6], *w[:14], *w[6:12]]), "d")], "doc_id long, text string, _hits string")
     items = spark.createDataFrame([(10, " ".join(w[:14])), (11, " ".join(w[8:22])), (12, "other " * 20)], "item_id long, text string")
     monkeypatch.setattr(leak, "MAX_NGRAMS", most)
-    assert len(leak._indexes(items, "item_id", "text", 12)) == (3 if most == 1 else 1)
+    assert len(leak._indexes(items, "item_id", "text", 12)) == (5 if most == 3 else 1)
     got = {r.doc_id: (r.text, r._hits) for r in leak.clean(docs, items).collect()}
     # the words around a removed passage are no passage themselves
     assert got == {1: ("before after", "a"), 2: (None, "b"), 3: ("Kept, as it is.", None), 4: (" ".join(w[:12]), "d")}

@@ -19,7 +19,9 @@ rows AS (
 ), g AS (SELECT *, min(k) OVER (PARTITION BY table_name, c) AS key_a, count(*) OVER (PARTITION BY table_name, c) AS copies FROM rows)
 """
 
-_WORDS = r"string_split(trim(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(replace(replace({}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '</?[A-Za-z][^<>]{{0,200}}>', ' ', 'g')), '[''\"`´‘’‚‛“”„‟«»‹›′″\p{{Cf}}]', '', 'g'), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', ' ', 'g')), ' ')"
+# a tag is a short one, or one of any length whose attributes all have values
+_TAG = r"""</?[A-Za-z][^<>]{0,200}>|<[A-Za-z][A-Za-z0-9_:-]*(?:\s+[A-Za-z_:@][A-Za-z0-9_:.@-]*\s*=\s*(?:"[^"<]*"|''[^''<]*''|[^\s"''<>]+))+\s*/?>"""
+_WORDS = r"string_split(trim(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(replace(replace({}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '@TAG@', ' ', 'g')), '[''\"`´‘’‚‛“”„‟«»‹›′″\p{{Cf}}]', '', 'g'), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', ' ', 'g')), ' ')".replace("@TAG@", _TAG.replace("{", "{{").replace("}", "}}"))
 
 _P7 = f"""
 WITH i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL),
