@@ -1,6 +1,7 @@
 """The models without Spark: folding, tagger, index, PPM, alignment, cutting, raking."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -65,32 +66,53 @@ def test_crf_gradient_by_difference():
         assert abs((up - loss) / 1e-5 - grad[name][at]) < 2e-3, name
 
 
+def cosines(index, examples, query):
+    """TF-IDF cosines over all terms of both texts, by dictionaries."""
+    n, df = len(examples), Counter(t for e in examples for t in abuse.terms(abuse.tokens(e)))
+
+    def vector(s):
+        v = {t: (1 + np.log(c)) * np.log(1 + n / max(1, df[t])) for t, c in abuse.terms(abuse.tokens(s)).items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    q = vector(query)
+    return sorted((sum(x * q.get(t, 0) for t, x in vector(e).items()) for e in examples), reverse=True)
+
+
 def test_nearest_is_exact():
     r = random.Random(3)
-    words = [f"w{i}" for i in range(40)]
-    rows = [(i, " ".join(r.choices(words, k=8)), float(i % 2), 1.0) for i in range(300)]
+    words = [f"w{i}" for i in range(400)]
+    common = words[:30]
+    rows = [(" ".join(r.choices(common, k=5) + r.choices(words, k=4)), [(i, i % 2)]) for i in range(900)]
     index = abuse.Index(rows)
-    dense = np.zeros((index.count, len(index.vocab) + 1))
-    for k in range(index.count):
-        np.add.at(dense[k], index.ids[k // abuse.BLOCK, k % abuse.BLOCK], index.weights[k // abuse.BLOCK, k % abuse.BLOCK])
-    for _ in range(20):
-        q = " ".join(r.choices(words, k=8))
-        t, w = index._vector(abuse.terms(q))
-        v = np.zeros(dense.shape[1])
-        v[t] = w
-        want = np.sort(dense @ v)[::-1][: abuse.K]
-        assert np.allclose(index.nearest(q)[1], want, atol=1e-5)
-    assert len(index.nearest("zzz")[0]) == 0
+    queries = [" ".join(r.choices(common, k=5) + r.choices([*words, "unseen", "strangeword"], k=4)) for _ in range(40)]
+    found = index.nearest([abuse.tokens(q) for q in queries])
+    for q, (_, scores) in zip(queries, found, strict=True):
+        assert np.allclose(scores, cosines(index, [x[0] for x in rows], q)[: abuse.K], atol=1e-5)
+    assert len(index.nearest([["zzz"]])[0][0]) == 0 and abuse.Index([]).nearest([["a"]])[0][0].size == 0
+
+
+def test_a_text_never_votes_on_itself():
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(words, k=7)) + ". " + " ".join(r.choices(words[:12], k=3)) + "." for _ in range(120)] + ["w1 w2 w3."] * 4
+    rows = [(f"k{i}", t, r.randint(0, 1)) for i, t in enumerate(texts)]
+    index = abuse.build(rows, (3.0, 2.0))
+    for i in range(0, len(rows), 7):
+        k, t, y = rows[i]
+        other = abuse.build(rows[:i] + [(k, t, 1 - y)] + rows[i + 1 :], (3.0, 2.0))
+        mine, flipped = (x.text_votes([t], [k])[0] for x in (index, other))
+        assert abs(mine[0] - flipped[0]) < 1e-9 and abs(mine[2] - flipped[2]) < 1e-9
+        assert abs(index.text_votes([t], ["unknown"])[0][0] - index.text_votes([t])[0][0]) < 1e-12
 
 
 def test_abuse_votes_and_spelling():
     bad = [f"shut up you {x}, nobody in {p} wants to hear an {y} whine" for x in ("idiot", "moron", "loser") for y in ("idiot", "creep") for p in ("Wexa", "Kelo", "Tora")]
     good = [f"we tested the {x} with several sellers in {p} during the {y} cut" for x in ("parcel", "refund", "chat") for y in ("power", "price") for p in ("Wexa", "Kelo", "Tora")]
     index = abuse.build([(i, t, int(i < len(bad))) for i, t in enumerate(bad + good)])
-    assert index.probability(index.text_vote("Shut up you m0r0n, nobody in Zana wants to hear an i-d-i-o-t whine")[0]) > 0.5
-    assert index.probability(index.text_vote("We tested the app with several sellers in Zana")[0]) < 0.5
-    assert index.text_vote(None)[0] == 0.0 and index.text_vote("")[0] == 0.0
-    assert abuse.build([]).text_vote("x") == (0.0, -1, 0.0)
+    found = index.text_votes(["Shut up you m0r0n, nobody in Zana wants to hear an i-d-i-o-t whine", "We tested the app with several sellers in Zana", None, ""])
+    assert index.probability(found[0][0]) > 0.5 > index.probability(found[1][0]) and found[2][0] == found[3][0] == 0.0
+    assert abuse.build([]).text_votes(["x"]) == [(0.0, -1, 0.0)]
 
 
 def test_ppm_code_lengths_by_hand():

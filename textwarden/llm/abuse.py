@@ -1,10 +1,12 @@
 """Problem 2: abusive, hateful or sexual content by its nearest labelled examples.
 
 Sentences of a bounded labelled sample stand in block-max inverted indexes: for each term
-and block of examples the largest weight. A query adds up these bounds, visits blocks from
-the highest bound on, scores their examples exactly, and stops when no bound can beat the
-k-th best. Distance-weighted votes of the k nearest are calibrated on the sample itself
-(each example without its own text) and come with the nearest example as evidence.
+the blocks of examples that hold it, each with its largest weight there and its postings.
+Queries are taken in groups: these bounds add up to one per query and block; the best blocks
+are scored first, then every block whose bound could still beat the k-th best, so the
+neighbours are those of the exact TF-IDF cosine. Distance-weighted votes of the k nearest are
+calibrated on the sample itself and come with the nearest example as evidence. A labelled
+text never votes on itself: its own label is taken out of the examples that it stands for.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fold import plain
@@ -23,13 +25,15 @@ from .util import spread
 #: Labelled rows that the index is fitted on at most, for each of the two sides (those whose hashed key is smallest).
 SAMPLE = 3_000
 POSITIVE = ("harassment", "hate_speech", "sexual", "threat")
-K, BLOCK, STEP = 15, 32, 6
+K, BLOCK, FIRST = 15, 32, 6  # neighbours; examples of a block; blocks that are scored before bounds are compared
+GROUP = 64  # queries that are answered at once
 #: Rows of the sample that the calibration uses at most (about), and how much a repeated sentence may weigh at most.
 CALIBRATE, MOST_MASS = 2_000, 3.0
 SHARP = 4.0  # a vote weighs its cosine to this power
 THRESHOLD = 0.5
 _END = re.compile(r"(?<=[.!?।…])[\"')\]]*\s+|\n+")
-_LEET = str.maketrans("013457@$€£", "oieast" + "aseL".lower())
+# Signs that stand for letters.
+_LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "€": "e", "£": "l"})
 _WORD = re.compile(r"[^\W_][\w@$'’ऀ-ॿ]*(?:[-.*][^\W_](?=[-.*\s,!?]|$))*", re.U)
 
 
@@ -38,23 +42,33 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
+class _Spelling(dict):
+    """Word -> its one spelling, kept for the next time."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        if w.isdigit():
+            x = "0"
+        else:
+            x = re.sub(r"[-.*]", "", w)
+            if re.search(r"[a-z]", x):
+                x = x.translate(_LEET)
+            x = re.sub(r"(.)\1+", r"\1", x)
+        self[w] = x
+        return x
+
+
+_SPELLING = _Spelling()
+
+
 def tokens(s: str) -> list[str]:
     """Words in one spelling: look-alikes, digits for letters, spelled-out letters and repeats undone; numbers as one word."""
-    out = []
-    for w in _WORD.findall(s):
-        if w.isdigit():
-            out.append("0")
-            continue
-        w = re.sub(r"[-.*]", "", w)
-        if re.search(r"[a-z]", w):
-            w = w.translate(_LEET)
-        out.append(re.sub(r"(.)\1+", r"\1", w))
-    return out
+    return [_SPELLING[w] for w in _WORD.findall(s)]
 
 
-def terms(s: str) -> Counter:
+def terms(w: list[str]) -> Counter:
     """Words, pairs of neighbours, and four-letter parts of long words."""
-    w = tokens(s)
     c = Counter(w)
     c.update(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))
     for x in w:
@@ -63,96 +77,152 @@ def terms(s: str) -> Counter:
     return c
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of each range, one after the other."""
+    total = np.cumsum(sizes)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
+
+
 class Index:
-    """Block-max index over (owner, sentence, label in 0..1, rows of the table that it stands for)."""
+    """Block-max index over examples: (sentence, its votes: [(owner, label 0 or 1), ...])."""
 
-    def __init__(self, rows: list[tuple[int, str, float, float]]):
-        bags = [terms(x[1]) for x in rows]
+    def __init__(self, rows: list[tuple[str, list[tuple[object, int]]]], weight: tuple[float, float] = (1.0, 1.0)):
+        self.weight, self.count = weight, len(rows)
+        bags = [terms(tokens(x[0])) for x in rows]
         df = Counter(t for b in bags for t in b)
-        self.vocab = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n > 1))}
-        n = len(rows)
-        self.idf = np.zeros(len(self.vocab) + 1, np.float32)
-        for t, i in self.vocab.items():
-            self.idf[i] = np.log(1 + n / df[t])
+        self.vocab = {t: i for i, t in enumerate(sorted(df))}
+        self.idf = np.array([np.log(1 + self.count / df[t]) for t in self.vocab], np.float32)
+        self.rare = float(np.log(1 + self.count))  # of a term that no example has; it counts in a query's length
         vectors = [self._vector(b) for b in bags]
         # examples that share their heaviest frequent terms stand in one block, so bounds are tight
-        order = sorted(range(n), key=lambda i: self._place(vectors[i]))
-        self.owner = np.array([rows[i][0] for i in order], np.int64)
-        self.text = [rows[i][1] for i in order]
-        self.label = np.array([rows[i][2] for i in order], np.float32)
-        self.mass = np.array([rows[i][3] for i in order], np.float32)
-        width = max([1, *(len(v[0]) for v in vectors)])
-        blocks = max(1, -(-n // BLOCK))
-        self.ids = np.full((blocks, BLOCK, width), len(self.vocab), np.int32)
-        self.weights = np.zeros((blocks, BLOCK, width), np.float32)
-        self.top = np.zeros((len(self.vocab) + 1, blocks), np.float32)
-        for k, i in enumerate(order):
-            t, w = vectors[i]
-            self.ids[k // BLOCK, k % BLOCK, : len(t)] = t
-            self.weights[k // BLOCK, k % BLOCK, : len(t)] = w
-            self.top[t, k // BLOCK] = np.maximum(self.top[t, k // BLOCK], w)
-        self.count = n
+        order = sorted(range(self.count), key=lambda i: self._place(vectors[i]))
+        self.text = [rows[i][0] for i in order]
+        self.mass = np.zeros((self.count, 2))
+        self.own: dict[object, tuple[list[int], int]] = {}
+        for r, i in enumerate(order):
+            for owner, y in rows[i][1]:
+                self.mass[r, y] += weight[y]
+                self.own.setdefault(owner, ([], y))[0].append(r)
+        # postings by (term, block)
+        row = np.repeat(np.arange(self.count), [len(vectors[i][0]) for i in order])
+        term = np.concatenate([vectors[i][0] for i in order]) if rows else np.zeros(0, np.int64)
+        value = np.concatenate([vectors[i][1] for i in order]) if rows else np.zeros(0, np.float32)
+        by = np.lexsort((row, term))
+        self.rows, self.values, term = row[by].astype(np.int32), value[by].astype(np.float32), term[by]
+        self.blocks = max(1, -(-self.count // BLOCK))
+        new = np.flatnonzero(np.diff(term * self.blocks + self.rows // BLOCK, prepend=-1))
+        self.run_start, self.run_size = new, np.diff(np.append(new, len(term)))
+        self.run_block = self.rows[new] // BLOCK
+        self.run_top = np.maximum.reduceat(self.values, new) if len(new) else np.zeros(0, np.float32)
+        self.term_run = np.searchsorted(term[new], np.arange(len(self.vocab) + 1))  # runs of term t: term_run[t] to term_run[t + 1]
         self.bins: tuple[np.ndarray, np.ndarray] | None = None
 
     def _vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(self.vocab[t], 1 + np.log(n)) for t, n in bag.items() if t in self.vocab]
-        if not pairs:
-            return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        t = np.array([p[0] for p in pairs], np.int32)
-        w = np.array([p[1] for p in pairs], np.float32) * self.idf[t]
-        return t, w / np.float32(np.sqrt((w * w).sum()) or 1)
+        """Terms of the index and their weights in the whole text's unit vector."""
+        known = [(self.vocab[t], n) for t, n in bag.items() if t in self.vocab]
+        t = np.array([x for x, _ in known], np.int64)
+        w = (1 + np.log(np.array([n for _, n in known], np.float32))) * self.idf[t]
+        other = np.array([n for x, n in bag.items() if x not in self.vocab], np.float32)
+        length = np.sqrt((w * w).sum() + (((1 + np.log(other)) * self.rare) ** 2).sum())
+        return t, (w / (length or 1)).astype(np.float32)
 
     def _place(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple:
         t, _ = vector
         return tuple(t[np.argsort(self.idf[t], kind="stable")][:6].tolist())
 
-    def nearest(self, s: str, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples, exact; ties by row. ``without`` leaves out one owner's rows."""
-        t, w = self._vector(terms(s))
-        if not len(t) or not self.count:
-            return np.zeros(0, int), np.zeros(0, np.float32)
-        bound = w @ self.top[t]
-        order = np.argsort(-bound, kind="stable")
-        q = np.zeros(len(self.vocab) + 1, np.float32)
-        q[t] = w
-        rows, scores = np.zeros(0, int), np.zeros(0, np.float32)
-        for i in range(0, len(order), STEP):
-            part = order[i : i + STEP]
-            if len(rows) >= k and bound[part[0]] <= scores[-1]:
-                break
-            if bound[part[0]] <= 0:
-                break
-            new = np.einsum("bij,bij->bi", q[self.ids[part]], self.weights[part]).ravel()
-            at = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ok = (at < self.count) & (new > 0)
-            if without is not None:
-                ok &= self.owner[np.minimum(at, self.count - 1)] != without
-            rows, scores = np.concatenate([rows, at[ok]]), np.concatenate([scores, new[ok]])
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-        return rows, scores
-
-    def vote(self, s: str, without: int | None = None) -> tuple[float, int, float]:
-        """Share of the distance-weighted votes, the nearest positive row (or nearest), its cosine."""
-        rows, scores = self.nearest(s, without=without)
-        if not len(rows):
-            return 0.0, -1, 0.0
-        w = scores**SHARP * self.mass[rows]
-        share = float((w * self.label[rows]).sum() / w.sum())
-        side = self.label[rows] > 0.5
-        pick = int(np.argmax(side)) if share > 0.5 and side.any() else 0
-        return share, int(rows[pick]), float(scores[pick])
-
-    def text_vote(self, text: str | None, without: int | None = None) -> tuple[float, int, float]:
-        """The highest vote among a text's sentences."""
-        return max((self.vote(s, without) for s in sentences(text)), default=(0.0, -1, 0.0))
-
-    def calibrate(self, rows: list[tuple[int, str, int]], weight: tuple[float, float]) -> None:
-        """Monotone map of votes to probabilities (pool adjacent violators), each text without itself.
-
-        ``weight``: how many rows of the table one sampled row of each side stands for.
+    def nearest(self, words: list[list[str]], k: int = K, without: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and cosines of each query's k nearest examples, exact; ties by row. A query is its tokens.
+
+        ``without``: for each query the owner whose votes don't count, or None; examples that only this owner has are left out.
         """
-        v = sorted((self.text_vote(t, k)[0], y) for k, t, y in rows)
+        out = []
+        for i in range(0, len(words), GROUP):
+            out += self._group(words[i : i + GROUP], k, (without or [None] * len(words))[i : i + GROUP])
+        return out
+
+    def _group(self, words: list[list[str]], k: int, without: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, n = len(words), self.count
+        if not n:
+            return [(np.zeros(0, int), np.zeros(0))] * m
+        vectors = [self._vector(terms(w)) for w in words]
+        term = np.concatenate([t for t, _ in vectors])
+        size = self.term_run[term + 1] - self.term_run[term]
+        run = _ranges(self.term_run[term], size)
+        query = np.repeat(np.repeat(np.arange(m), [len(t) for t, _ in vectors]), size)
+        value = np.repeat(np.concatenate([w for _, w in vectors]), size)
+        place = query * self.blocks + self.run_block[run]
+        bound = np.bincount(place, value * self.run_top[run], m * self.blocks).reshape(m, self.blocks) * (1 + 1e-6)
+        score = np.zeros((m, n))
+
+        def add(wanted: np.ndarray) -> None:
+            pick = wanted.ravel()[place]
+            at, size = run[pick], self.run_size[run[pick]]
+            entry = _ranges(self.run_start[at], size)
+            where = np.repeat(query[pick], size) * n + self.rows[entry]
+            score.ravel()[:] += np.bincount(where, np.repeat(value[pick], size) * self.values[entry], m * n)
+            for q, owner in enumerate(without):
+                if owner in self.own:
+                    score[q, self._alone(owner)] = 0
+
+        first = np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
+        wanted = np.zeros(bound.shape, bool)
+        np.put_along_axis(wanted, first, True, 1)
+        add(wanted)
+        seen = np.minimum((first[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(m, -1), n)
+        seen = np.take_along_axis(np.concatenate([score, np.zeros((m, 1))], 1), seen, 1)  # rows beyond the last one score 0
+        least = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(m)
+        more = (bound >= least[:, None]) & (bound > 0) & ~wanted
+        if more.any():
+            add(more)
+        q, row = np.nonzero((score >= least[:, None]) & (score > 0))
+        s = score[q, row]
+        order = np.lexsort((row, -s, q))
+        q, row, s = q[order], row[order], s[order]
+        edge = np.searchsorted(q, np.arange(m + 1))
+        return [(row[a : min(b, a + k)], s[a : min(b, a + k)]) for a, b in zip(edge, edge[1:], strict=False)]
+
+    def _alone(self, owner) -> list[int]:
+        """Examples that no other text has."""
+        rows, y = self.own[owner]
+        return [r for r in rows if self.mass[r].sum() <= self.weight[y] * (1 + 1e-9)]
+
+    def votes(self, words: list[list[str]], without: list | None = None) -> list[tuple[float, int, float]]:
+        """For each query its share of the distance-weighted votes, the nearest positive row (or nearest), its cosine."""
+        out = []
+        for (rows, scores), owner in zip(self.nearest(words, K, without), without or [None] * len(words), strict=True):
+            if not len(rows):
+                out.append((0.0, -1, 0.0))
+                continue
+            mass = self.mass[rows]
+            if owner in self.own:
+                own, y = self.own[owner]
+                mass[np.isin(rows, own), y] -= self.weight[y]
+            total = mass.sum(1)
+            label = mass[:, 1] / total
+            w = scores**SHARP * np.minimum(total, MOST_MASS * sum(self.weight))
+            share = float((w * label).sum() / w.sum())
+            side = label > 0.5
+            pick = int(np.argmax(side)) if share > 0.5 and side.any() else 0
+            out.append((share, int(rows[pick]), float(scores[pick])))
+        return out
+
+    def text_votes(self, texts: list[str | None], owners: list | None = None, kept: dict | None = None) -> list[tuple[float, int, float]]:
+        """The highest vote among each text's sentences. Sentences of the same tokens are asked once; ``kept`` holds their votes for later calls."""
+        kept = {} if kept is None else kept
+        parts = [[tuple(tokens(s)) for s in sentences(t)] for t in texts]
+        owners = owners or [None] * len(texts)
+        owned = [o in self.own for o in owners]
+        new = list(dict.fromkeys(s for p, own in zip(parts, owned, strict=True) if not own for s in p if s not in kept))
+        kept.update(zip(new, self.votes([list(s) for s in new]), strict=True))
+        asked = [(s, o) for p, o, own in zip(parts, owners, owned, strict=True) if own for s in p]
+        answers = iter(self.votes([list(s) for s, _ in asked], [o for _, o in asked]))
+        return [max((next(answers) if own else kept[s] for s in p), default=(0.0, -1, 0.0)) for p, own in zip(parts, owned, strict=True)]
+
+    def calibrate(self, rows: list[tuple[object, str, int]]) -> None:
+        """Monotone map of votes to probabilities (pool adjacent violators), each text without itself."""
+        weight = self.weight
+        found = self.text_votes([t for _, t, _ in rows], [k for k, *_ in rows])
+        v = sorted((x[0], y) for x, (*_, y) in zip(found, rows, strict=True))
         blocks: list[list[float]] = []
         for x, y in v:
             blocks.append([x, weight[y] * y, weight[y]])
@@ -161,56 +231,51 @@ class Index:
                 blocks[-1] = [b[0], blocks[-1][1] + b[1], blocks[-1][2] + b[2]]
         self.bins = np.array([b[0] for b in blocks] or [1.0]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks] or [0.0])
 
-    def probability(self, vote: float) -> float:
+    def probability(self, vote):
         x, p = self.bins
-        return float(np.interp(vote, x, p))
+        return np.interp(vote, x, p)
+
 
+def build(rows: list[tuple[object, str, int]], weight: tuple[float, float] = (1.0, 1.0)) -> Index:
+    """rows: (owner, text, 0 or 1). A sentence that stands in several texts is one example with all their votes.
 
-def build(rows: list[tuple[int, str, int]], weight: tuple[float, float] = (1.0, 1.0)) -> Index:
-    """rows: (owner, text, 0 or 1). A sentence that stands in texts of both sides gets the share of its labels."""
-    seen: dict[str, list] = {}
+    ``weight``: how many rows of the table one sampled row of each side stands for.
+    """
+    seen: dict[tuple, tuple[str, list]] = {}
     for k, t, y in rows:
-        for s in set(sentences(t)):
-            seen.setdefault(" ".join(tokens(s)), [k, s, 0, 0])
-            x = seen[" ".join(tokens(s))]
-            x[2 + y] += weight[y]
-    index = Index([(k, s, b / (a + b), min(a + b, MOST_MASS * (weight[0] + weight[1]))) for k, s, a, b in seen.values()])
-    index.calibrate(rows[:: max(1, len(rows) // CALIBRATE)], weight)
+        for s in {tuple(tokens(s)): s for s in reversed(sentences(t))}.items():
+            seen.setdefault(s[0], (s[1], []))[1].append((k, y))
+    index = Index(list(seen.values()), weight)
+    index.calibrate(rows[:: max(1, len(rows) // CALIBRATE)])
     return index
 
 
 def fit(df: DataFrame, key: str = "id", text: str = "text", category: str = "labels.category", most: int = SAMPLE) -> Index:
     """An index from at most ``most`` labelled rows of either side; null labels and texts are left out."""
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(F.trim(F.col(category))).isin(*POSITIVE).alias("y")).where("k is not null and t is not null and y is not null").dropDuplicates(["k"])
-    rows, total = [], {bool(r.y): r.n for r in src.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    for y in (False, True):
-        part = src.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most).collect()
-        rows += [(r.t, int(y)) for r in part]
-    got = Counter(y for _, y in rows)
-    weight = tuple(total.get(bool(y), 0) / max(1, got[y]) for y in (0, 1))
-    return build([(k, t, y) for k, (t, y) in enumerate(rows)], weight)
+    total = {bool(r.y): r.n for r in src.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # both sides in one pass: each part of the table keeps its own first rows before they meet
+    first = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
+    rows = [(r.k, r.t, int(r.y)) for r in src.withColumn("rn", first).where(F.col("rn") <= most).orderBy("y", "rn").collect()]
+    got = Counter(y for *_, y in rows)
+    return build(rows, tuple(total.get(bool(y), 0) / max(1, got[y]) for y in (0, 1)))
 
 
 def score(df: DataFrame, index: Index, key: str = "id", text: str = "text") -> DataFrame:
-    """id, score (calibrated probability), vote, evidence (nearest example), cosine; one row per row. Null and empty texts score 0."""
+    """id, score (calibrated probability), vote, evidence (nearest example), cosine; one row per row. Null and empty texts score 0.
+
+    A row of the sample that the index was fitted on is scored without its own label, whatever that is.
+    """
     sent = df.sparkSession.sparkContext.broadcast(index)  # its size is bounded by the sample
 
     def run(batches):
         kept: dict = {}
         for pdf in batches:
-            rows = []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
-                best = (0.0, -1, 0.0)
-                for s in sentences(t):
-                    v = kept.get(s)
-                    if v is None:
-                        if len(kept) > 20_000:
-                            kept.clear()
-                        v = kept[s] = sent.value.vote(s)
-                    best = max(best, v)
-                v, row, cosine = best
-                rows.append((k, sent.value.probability(v) if row >= 0 else 0.0, v, sent.value.text[row] if row >= 0 else None, cosine))
-            yield pd.DataFrame(rows, columns=["id", "score", "vote", "evidence", "cosine"])
+            if len(kept) > 50_000:
+                kept.clear()
+            found = sent.value.text_votes(pdf["t"].tolist(), pdf["k"].tolist(), kept)
+            vote, row, cosine = (np.array(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
+            yield pd.DataFrame({"id": pdf["k"], "score": np.where(row >= 0, sent.value.probability(vote), 0.0), "vote": vote, "evidence": [sent.value.text[r] if r >= 0 else None for r in row.astype(int)], "cosine": cosine})
 
     src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return src.mapInPandas(run, f"id {dict(df.dtypes)[key]}, score double, vote double, evidence string, cosine double")
