@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fold import plain
@@ -19,6 +19,7 @@ from .ppm import PPM
 from .util import spread
 
 LANGS = ("en", "es", "hi", "hinglish", "mr")
+OTHER = "other"
 #: Labelled rows per language that the models are trained on at most.
 SAMPLE = 2_000
 ROUNDS = 2
@@ -26,8 +27,15 @@ MIN_LETTERS = 14  # a segment with fewer letters, or fewer words, is no whole se
 MIN_WORDS = 4
 #: A language of a mixed text needs this many bits less than the main language on some whole sentence.
 MARGIN = 25.0
+#: ... and so many bits a letter: names and addresses alone, which are of no language, give less.
+MARGIN_LETTER = 1.5
 _END = re.compile(r"(?<=[.!?।…])[\"')\]]*\s+|\n+")
-_NOISE = re.compile(r"<[^<>\s]{1,80}>|\S*@\S*|#\S+|https?://\S+|\S*\d\S*|\b[A-Z]{2,5}\b(?=[ :])")
+# Words by which digits are spelled out.
+_DIGITS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple"
+# placeholders, addresses and handles (also with at and dot spelled out), links, numbers, four or more spelled digits, codes
+_NOISE = re.compile(rf"<[^<>\s]{{1,80}}>|\S*@\S*|\S*[(\[](?:at|dot)[)\]]\S*|\S+ at \w+ dot \w+(?: dot \w+)*|#\S+|https?://\S+|\S*\w[+_]\w\S*|\S*[^\W\d]\.[a-z]{{2,8}}(?![a-z])\S*|\S*\d\S*|\b(?:{_DIGITS})(?:[ -](?:{_DIGITS})){{3,}}\b|\b[A-Z]{{2,5}}\b(?=[ :])")
+_DEVANAGARI = re.compile(r"[ऀ-ॿ]")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
 _LETTERS = re.compile(r"[^\W\d_]|[ऀ-ॿ]")
 _WORD = re.compile(r"[^\W\d_][\w'’ऀ-ॿ-]*")
 
@@ -39,15 +47,39 @@ def canonical_label(lang: F.Column) -> F.Column:
 
 
 def segments(text: str | None) -> list[str]:
-    """Sentences and lines, folded, without handles, addresses of any kind and numbers."""
+    """Sentences and lines, folded, without handles, addresses of any kind and numbers; where the script changes within one, see ``by_script``."""
     out = []
     for s in _END.split(plain_case(text)):
-        s = re.sub(r"\s+", " ", _NOISE.sub(" ", s)).strip()
+        s = unnamed(re.sub(r"\s+", " ", _NOISE.sub(" ", s)).strip())
         if s:
-            out.append(s)
+            out += by_script(s) if _DEVANAGARI.search(s) and _LATIN.search(s) else [s]
     return out
 
 
+def unnamed(s: str) -> str:
+    """Without capitalised words behind the first one, which are names more often than not; a sentence with most of its words capitalised stays as it is."""
+    w = s.split(" ")
+    keep = [x for i, x in enumerate(w) if not i or not x.lstrip("\"'(¿¡«“")[:1].isupper()]
+    return " ".join(keep) if 2 * len(keep) >= len(w) else s
+
+
+def by_script(s: str) -> list[str]:
+    """A sentence in two scripts as its runs of one script that are whole sentences themselves. Shorter runs are borrowed words
+    and names and are left out; if no run is whole, the words of the script that has more of them stay."""
+    runs: list[tuple[bool, list[str]]] = []
+    for w in s.split(" "):
+        deva, latin = bool(_DEVANAGARI.search(w)), bool(_LATIN.search(w))
+        if runs and (deva == latin or deva == runs[-1][0]):
+            runs[-1][1].append(w)
+        elif deva != latin or not runs:
+            runs.append((deva, [w]))
+    good = [" ".join(w) for _, w in runs if whole(" ".join(w))]
+    if good:
+        return good
+    most = sum(len(w) if deva else -len(w) for deva, w in runs) >= 0
+    return [" ".join(x for deva, w in runs if deva == most for x in w)]
+
+
 def plain_case(text: str | None) -> str:
     from .fold import skeleton
 
@@ -85,30 +117,31 @@ def train(rows: list[tuple[str, str]]) -> PPM:
 
 
 class Judge:
+    """``model``: one PPM of every language. A sentence whose shortest code is longer than its bytes themselves is in none of them: OTHER."""
+
     def __init__(self, model: PPM):
         self.model = model
+        self.names = [*model.classes, OTHER]
 
-    def __call__(self, texts: list[str | None], every: bool = False) -> list[list[tuple[str, str, float, int]]]:
-        """Per text: (segment, language, confidence, letters) of its whole sentences, or of the whole text if it has none.
-        With ``every``, of each segment that has a letter."""
-        segs, owner = [], []
-        for k, t in enumerate(texts):
+    def __call__(self, texts: list[str | None], every: bool = False) -> list[list[tuple[str, str, float, int, np.ndarray]]]:
+        """Per text: (segment, language, confidence, letters, bits under every name) of its whole sentences, or of the whole text if it has none.
+        With ``every``, of each segment that has a letter. Equal segments are coded once."""
+        parts = []
+        for t in texts:
             own = segments(t)
-            good = [s for s in own if _LETTERS.search(s)] if every else [s for s in own if whole(s)] or ([" ".join(own)] if own else [])
-            segs += good
-            owner += [k] * len(good)
-        bits = self.model.score([s.lower() for s in segs])
-        size = np.array([len(s.encode()) + 2 for s in segs])
-        out: list = [[] for _ in texts]
-        for s, k, b, n in zip(segs, owner, bits, size, strict=True):
-            p = np.exp2(-(b - b.min()) / max(1.0, n / 16))  # tempered: bytes are not independent
-            p /= p.sum()
-            j = int(b.argmin())
-            out[k].append((s, self.model.classes[j], float(p[j]), len(s), b))
-        return out
-
-
-def languages(found: list) -> list[tuple[str, float, int]]:
+            parts.append([s for s in own if _LETTERS.search(s)] if every else [s for s in own if whole(s)] or ([" ".join(own)] if own else []))
+        place = {s: i for i, s in enumerate(dict.fromkeys(s for p in parts for s in p))}
+        if not place:
+            return [[] for _ in texts]
+        size = np.array([len(s.lower().encode("utf-8", "surrogatepass")) + 2 for s in place], float)
+        bits = np.concatenate([self.model.score([s.lower() for s in place]), 8 * size[:, None]], 1)
+        best = bits.argmin(1)
+        p = np.exp2(-(bits - bits.min(1)[:, None]) / np.maximum(1.0, size / 16)[:, None])  # tempered: bytes are not independent
+        p = p.max(1) / p.sum(1)
+        return [[(s, self.names[best[i]], float(p[i]), len(s), bits[i]) for s in part for i in [place[s]]] for part in parts]
+
+
+def languages(found: list, names: list[str] = [*sorted(LANGS), "other"]) -> list[tuple[str, float, int]]:
     """(language, confidence, letters) really used: the main one, and each that a whole sentence shows clearly."""
     if not found:
         return []
@@ -118,27 +151,26 @@ def languages(found: list) -> list[tuple[str, float, int]]:
         x[0] += conf * n
         x[1] += n
     main = max(total, key=lambda c: (total[c][1], c))
-    names = sorted(LANGS)
     keep = {main}
-    for _, lang, _c, _n, b in found:
-        if lang != main and b[names.index(main)] - b[names.index(lang)] >= MARGIN:
+    for _, lang, _c, n, b in found:
+        if lang != main and b[names.index(main)] - b[names.index(lang)] >= max(MARGIN, MARGIN_LETTER * n):
             keep.add(lang)
     return sorted((c, total[c][0] / total[c][1], total[c][1]) for c in keep)
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "id", most: int = SAMPLE) -> PPM:
-    """Models from at most ``most`` labelled rows per language (those whose hashed key is smallest)."""
-    rows = []
+    """Models from at most ``most`` labelled rows per language (those whose hashed key is smallest), in one pass: each part of the
+    table keeps its own first rows before they meet."""
     src = df.select(F.col(key).alias("k"), canonical_label(F.col(lang)).alias("c"), F.col(text).alias("t")).where(F.col("t").isNotNull() & F.col("c").isin(*LANGS))
-    for c in LANGS:
-        rows += [(c, r.t) for r in src.where(F.col("c") == c).orderBy(F.xxhash64("k"), "k", "t").limit(most).select("t").collect()]
-    return train(rows)
+    first = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("k"), "k", "t"))
+    rows = src.withColumn("rn", first).where(F.col("rn") <= most).orderBy("c", "rn").select("c", "t").collect()
+    return train([(r.c, r.t) for r in rows])
 
 
 def identify(df: DataFrame, model: PPM, key: str = "id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per record and language really used: id, lang (as stored), true_lang, confidence, share, mixed.
 
-    A null or empty text, or one without a letter, has no row. Repeated rows of one record give repeated rows.
+    A null or empty text, or one without a letter, has no row; a text in none of the languages has the row ``other``. Repeated rows of one record give repeated rows.
     """
     judge = df.sparkSession.sparkContext.broadcast(Judge(model))  # its size is bounded by the sample
 

@@ -62,10 +62,15 @@ def _contexts(data: np.ndarray, order: int) -> np.ndarray:
 
 
 class PPM:
+    """``levels``: for each order the known (context, byte) pairs with their whole cost under each class, escapes to
+    shorter contexts included, and the known contexts with the cost of their escape. A byte is therefore one look-up
+    at the longest context after which any class knows it, plus one per longer context."""
+
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.classes, self.order = sorted(texts), order
         self.levels = []
         data = {c: np.frombuffer(("\n".join(["", *texts[c], ""])).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64) for c in self.classes}
+        shorter: tuple[np.ndarray, np.ndarray] | None = None
         for k in range(order + 1):
             pairs, contexts = [], []
             for c in self.classes:
@@ -83,29 +88,32 @@ class PPM:
                 escape[np.searchsorted(all_ctx, ctx), j] = -np.log2(distinct / (total + distinct))
                 at = np.searchsorted(ctx, pair >> np.uint64(8))
                 cost[np.searchsorted(all_pair, pair), j] = -np.log2(n / (total[at] + distinct[at]))
+            # where a class does not know the pair: its escape, and the pair's whole cost one order below
+            if shorter is None:
+                below = np.full(cost.shape, np.float32(8))
+            else:
+                known = (all_pair & np.uint64((1 << 8 * k) - 1)) | np.uint64(k << 8 * k)  # without the first byte, marked as of order k - 1
+                below = shorter[1][np.searchsorted(shorter[0], known)]
+            cost = np.where(np.isnan(cost), escape[np.searchsorted(all_ctx, all_pair >> np.uint64(8))] + below, cost)
+            shorter = all_pair, cost
             self.levels.append((Table(all_ctx), escape, Table(all_pair), cost))
 
     def bits(self, data: np.ndarray) -> np.ndarray:
         """Code length of each byte under each class; data: uint64 bytes."""
         out = np.zeros((len(data), len(self.classes)), np.float32)
-        open_ = np.ones(out.shape, bool)
+        todo = np.arange(len(data))
         for k in range(self.order, -1, -1):
             ctx_table, escape, pair_table, cost = self.levels[k]
-            todo = np.flatnonzero(open_.any(1))
+            key = _contexts(data, k)[todo]
+            pair = pair_table.find((key << np.uint64(8)) | data[todo])
+            hit = pair >= 0
+            out[todo[hit]] += cost[pair[hit]]
+            todo, key = todo[~hit], key[~hit]
             if not len(todo):
                 return out
-            key = _contexts(data, k)[todo] if k else np.full(len(todo), 1, np.uint64)
             ctx = ctx_table.find(key)
-            known = ctx >= 0
-            todo, key, ctx = todo[known], key[known], ctx[known]
-            pair = pair_table.find((key << np.uint64(8)) | data[todo])
-            seen = np.full((len(todo), len(self.classes)), np.nan, np.float32)
-            seen[pair >= 0] = cost[pair[pair >= 0]]
-            hit = ~np.isnan(seen)
-            was = open_[todo]
-            out[todo] += np.where(was, np.where(hit, seen, escape[ctx]), 0)
-            open_[todo] = was & ~hit
-        out += np.where(open_, np.float32(8), np.float32(0))
+            out[todo[ctx >= 0]] += escape[ctx[ctx >= 0]]
+        out[todo] += np.float32(8)
         return out
 
     def score(self, segments: list[str]) -> np.ndarray:
