@@ -222,10 +222,14 @@ class Index:
         """Monotone map of votes to probabilities (pool adjacent violators), each text without itself."""
         weight = self.weight
         found = self.text_votes([t for _, t, _ in rows], [k for k, *_ in rows])
-        v = sorted((x[0], y) for x, (*_, y) in zip(found, rows, strict=True))
+        same: dict[float, list[float]] = {}
+        for (x, *_), (*_, y) in zip(found, rows, strict=True):  # equal votes get one probability
+            at = same.setdefault(x, [0.0, 0.0])
+            at[0] += weight[y] * y
+            at[1] += weight[y]
         blocks: list[list[float]] = []
-        for x, y in v:
-            blocks.append([x, weight[y] * y, weight[y]])
+        for x in sorted(same):
+            blocks.append([x, *same[x]])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
                 b = blocks.pop()
                 blocks[-1] = [b[0], blocks[-1][1] + b[1], blocks[-1][2] + b[2]]
