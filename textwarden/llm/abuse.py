@@ -69,12 +69,11 @@ def tokens(s: str) -> list[str]:
 
 def terms(w: list[str]) -> Counter:
     """Words, pairs of neighbours, and four-letter parts of long words."""
-    c = Counter(w)
-    c.update(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))
+    out = w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
     for x in w:
         if len(x) > 5:
-            c.update("#" + x[i : i + 4] for i in range(len(x) - 3))
-    return c
+            out += ["#" + x[i : i + 4] for i in range(len(x) - 3)]
+    return Counter(out)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -119,11 +118,13 @@ class Index:
 
     def _vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the index and their weights in the whole text's unit vector."""
-        known = [(self.vocab[t], n) for t, n in bag.items() if t in self.vocab]
-        t = np.array([x for x, _ in known], np.int64)
-        w = (1 + np.log(np.array([n for _, n in known], np.float32))) * self.idf[t]
-        other = np.array([n for x, n in bag.items() if x not in self.vocab], np.float32)
-        length = np.sqrt((w * w).sum() + (((1 + np.log(other)) * self.rare) ** 2).sum())
+        get = self.vocab.get
+        all_ = np.array([get(t, -1) for t in bag], np.int64)
+        n = 1 + np.log(np.fromiter(bag.values(), np.float32, len(bag)))
+        known = all_ >= 0
+        t, w = all_[known], n[known]
+        w = w * self.idf[t]
+        length = np.sqrt((w * w).sum() + ((n[~known] * self.rare) ** 2).sum())
         return t, (w / (length or 1)).astype(np.float32)
 
     def _place(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple:
@@ -159,7 +160,8 @@ class Index:
             at, size = run[pick], self.run_size[run[pick]]
             entry = _ranges(self.run_start[at], size)
             where = np.repeat(query[pick], size) * n + self.rows[entry]
-            score.ravel()[:] += np.bincount(where, np.repeat(value[pick], size) * self.values[entry], m * n)
+            flat = score.ravel()
+            flat += np.bincount(where, np.repeat(value[pick], size) * self.values[entry], m * n)
             for q, owner in enumerate(without):
                 if owner in self.own:
                     score[q, self._alone(owner)] = 0
@@ -174,7 +176,7 @@ class Index:
         more = (bound >= least[:, None]) & (bound > 0) & ~wanted
         if more.any():
             add(more)
-        q, row = np.nonzero((score >= least[:, None]) & (score > 0))
+        q, row = np.nonzero(score >= np.maximum(least, 1e-12)[:, None])
         s = score[q, row]
         order = np.lexsort((row, -s, q))
         q, row, s = q[order], row[order], s[order]
