@@ -11,14 +11,19 @@ from .fold import skeleton
 from .util import checkpoint
 
 
+#: Forms of one skeleton that are paired with the others in one task.
+FORMS = 1_000
+
+
 @F.pandas_udf(T.StringType())
 def skeleton_udf(text: pd.Series) -> pd.Series:
-    return text.map(skeleton)
+    return text.map(skeleton, na_action="ignore")
 
 
 def skeleton_column(col: str) -> F.Column:
-    """Texts of plain ASCII are their own skeleton and never leave the JVM's side of the plan's result."""
-    return skeleton_udf(F.col(col))
+    """Texts of plain ASCII are their own skeleton; Python gets a null in their place."""
+    c = F.col(col)
+    return F.coalesce(skeleton_udf(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def with_skeleton(df: DataFrame, text: str = "text", to: str = "skeleton") -> DataFrame:
@@ -43,17 +48,20 @@ def pairs(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 
     Null texts match nothing. Only skeletons with two or more stored forms take part; the
     forms are paired first (as 128-bit hashes) and then opened to records, so records that
-    share one stored text never meet each other.
+    share one stored text never meet each other. The pairs of a skeleton with many forms are
+    made in blocks of FORMS, each by a task of its own.
     """
     # one row per record: a key that occurs in several rows counts once per stored form
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").distinct()
     digest = lambda c: F.unhex(F.md5(c))
     records = checkpoint(rows.select("k", digest(F.col("t").cast("binary")).alias("form"), digest(skeleton_column("t").cast("binary")).alias("s")))
     forms = records.select("form", "s").distinct()
-    several = forms.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-    forms = forms.join(several, "s", "left_semi")
-    a, b = forms.select("s", F.col("form").alias("fa")), forms.select("s", F.col("form").alias("fb"))
-    form_pairs = a.join(b, "s").where("fa < fb").select("fa", "fb")
+    parts = F.ceil(F.col("n") / FORMS).cast("int")
+    several = forms.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", parts.alias("parts"))
+    forms = forms.join(several, "s")
+    a = forms.select("s", F.col("form").alias("fa"), F.pmod(F.xxhash64("form"), F.col("parts")).cast("int").alias("part"))
+    b = forms.select("s", F.col("form").alias("fb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    form_pairs = a.join(b, ["s", "part"]).where("fa < fb").select("fa", "fb")
     members = records.join(several, "s", "left_semi").select("k", "form")
     out = form_pairs.join(members.select(F.col("form").alias("fa"), F.col("k").alias("ka")), "fa").join(members.select(F.col("form").alias("fb"), F.col("k").alias("kb")), "fb")
     return out.where("ka <> kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
