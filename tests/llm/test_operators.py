@@ -18,7 +18,9 @@ def odd(spark, texts):
     return spark.createDataFrame([(f"r{i}", t, None, "x", "y", "z", "v") for i, t in enumerate(texts)], ODD)
 
 
-def test_lookalike_pairs_by_brute_force(spark):
+@pytest.mark.parametrize("forms", [2, 1000])
+def test_lookalike_pairs_by_brute_force(spark, monkeypatch, forms):
+    monkeypatch.setattr(lookalike, "FORMS", forms)
     texts = ["Hi there", "Hi thеre", "Hi​ there", "Hi there", "hi there", None, "", "​", "x"]
     df = odd(spark, texts)
     want = sorted(tuple(sorted((f"r{i}", f"r{j}"))) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if a is not None and b is not None and a != b and skeleton(a) == skeleton(b))
@@ -40,6 +42,8 @@ def test_formatting_members_by_brute_force(spark, limit):
         if t is not None:
             by.setdefault(formatting.canonical(t), []).append(k)
     want = sorted((min(v), k, len(v)) for v in by.values() for k in v)
+    if limit == 3:  # buckets too long, not too many
+        assert sorted((x.key_a, x.k, x.copies) for x in formatting.members(df, "k", "canon", 10_000, 40).collect()) == want
     assert sorted((x.key_a, x.k, x.copies) for x in formatting.members(df, "k", "canon", limit).collect()) == want
     assert formatting.members(df.limit(0), "k", "canon", limit).count() == 0
 

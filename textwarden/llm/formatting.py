@@ -1,24 +1,26 @@
 """Problem 6: records equal but for white space, letter case, punctuation and field order.
 
-Recursive radix partitioning on canonical bytes: rows are counted by the first bytes of
-their canonical form; a bucket above ``limit`` is split by further bytes until it fits, or
-until all its rows are one and the same form. Each fitting bucket goes to one task, which
-counts it in a trie with terminal counters.
+Recursive radix partitioning on canonical bytes: rows are counted by the first characters of
+their canonical form; a bucket above ``LIMIT`` rows or ``BYTES`` is split by further characters
+until it fits, or until all its rows are one and the same form. Each fitting bucket goes to one
+task, which counts it in a trie with terminal counters. The table of split buckets is a
+DataFrame from round to round; nothing of it comes to the driver.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import checkpoint
+from .util import checkpoint, stored
 
-LIMIT = 40_000  # rows that one bucket may hold
+LIMIT, BYTES = 40_000, 64 << 20  # rows and bytes that one bucket may hold
 FIRST_BYTES = 2
 FIELDS = ("text", "label", "category", "source")
 
@@ -28,7 +30,7 @@ class _Drop(dict):
 
     def __missing__(self, code: int) -> str | None:
         c = chr(code)
-        gone = c.isspace() or unicodedata.category(c)[0] == "P" or (code < 128 and c in "$+<=>^`|~" and False)
+        gone = c.isspace() or unicodedata.category(c)[0] == "P"
         self[code] = "" if gone else c
         return self[code]
 
@@ -104,42 +106,36 @@ def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key_a": [c[1] for c in cells], "k": pdf["k"].to_numpy(), "copies": [c[0] for c in cells]})
 
 
-def members(records: DataFrame, key: str, canon: str, limit: int = LIMIT) -> DataFrame:
+def members(records: DataFrame, key: str, canon: str, limit: int = LIMIT, most_bytes: int = BYTES) -> DataFrame:
     """One row per record: key_a (smallest key of its group), k (its key), copies (records of the group).
 
     ``records``: one row per record. Null canonical forms are left out; the empty one is a
-    form like any other. A group of any size is counted in full: a form that alone exceeds
-    the limit is counted by partial aggregation instead of a trie, since its bucket holds
-    nothing else.
+    form like any other. A group of any size is counted in full: a form that alone fills an
+    oversized bucket is counted by partial aggregation instead of a trie.
     """
-    rows = checkpoint(records.select(F.col(key).alias("k"), F.col(canon).alias("c")).where("k is not null and c is not null"))
+    rest = checkpoint(records.select(F.col(key).alias("k"), F.col(canon).alias("c")).where("k is not null and c is not null"))
     # each row: its prefix so far; a form shorter than the prefix ends with a mark that no longer prefix has
     prefix = lambda n: F.when(F.length("c") < n, F.concat("c", F.lit("\x1e"))).otherwise(F.substring("c", 1, n))
-    fits: list[DataFrame] = []
+    count = F.count("*").alias("n"), F.sum(F.octet_length("c").cast("long")).alias("bytes"), (F.min(F.md5(F.col("c").cast("binary"))) == F.max(F.md5(F.col("c").cast("binary")))).alias("same")
+    tries: list[DataFrame] = []
     whole: list[DataFrame] = []
-    rest, n = rows, FIRST_BYTES
+    n = FIRST_BYTES
     while True:
-        # at most rows / limit prefixes are above the limit, whatever the data
-        big = rest.groupBy(prefix(n).alias("p")).agg(F.count("*").alias("n"), F.max(F.length("c")).alias("longest")).where(F.col("n") > limit).collect()
-        if not big:
-            fits.append(rest.withColumn("p", prefix(n)))
+        rows = rest.withColumn("p", prefix(n))
+        big = stored(rows.groupBy("p").agg(*count).where((F.col("n") > limit) | (F.col("bytes") > most_bytes)).select("p", "same"))
+        if big.isEmpty():
+            tries.append(rows)
             break
-        fits.append(rest.where(~prefix(n).isin([r.p for r in big])).withColumn("p", prefix(n)))
-        done = [r.p for r in big if r.p.endswith("\x1e")]
-        if done:
-            whole.append(rest.where(prefix(n).isin(done)))
-        open_ = [r.p for r in big if not r.p.endswith("\x1e")]
-        if not open_:
-            break
-        rest, n = rest.where(prefix(n).isin(open_)), n * 2
-    out = None
-    for part in fits:
-        one = part.groupBy("p").applyInPandas(_count_bucket, "key_a string, k string, copies long")
-        out = one if out is None else out.unionByName(one)
+        # one row per oversized prefix; its size is known from the stored table, so the join is chosen by it
+        tries.append(rows.join(big, "p", "left_anti"))
+        whole.append(rows.join(big.where("same"), "p", "left_semi"))
+        rest, n = checkpoint(rows.join(big.where("not same"), "p", "left_semi").select("k", "c")), n * 2
+    out = reduce(DataFrame.unionByName, tries).select("k", "c", "p").groupBy("p").applyInPandas(_count_bucket, "key_a string, k string, copies long")
     for part in whole:
+        # rows of one form meet by its digest only to learn the group's smallest key: partial sums per task, then one row per form
+        part = part.select("k", F.md5(F.col("c").cast("binary")).alias("c"))
         tops = part.groupBy("c").agg(F.min("k").alias("key_a"), F.count("*").alias("copies"))
-        # at most rows / limit forms alone exceed the limit
-        out = out.unionByName(part.join(F.broadcast(tops), "c").select("key_a", "k", "copies"))
+        out = out.unionByName(part.join(stored(tops), "c").select("key_a", "k", "copies"))
     return out
 
 
