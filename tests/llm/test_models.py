@@ -10,7 +10,7 @@ import pytest
 from textwarden.llm import abuse, bilstm_crf, language, leak, overlap, pieces, pii, pii_training
 from textwarden.llm.fold import fold_chars, skeleton
 from textwarden.llm.formatting import Trie, canonical, canonical_json
-from textwarden.llm.mixture import rake
+from textwarden.llm.mixture import Topics, rake
 from textwarden.llm.ppm import PPM, Table
 from textwarden.llm.tokens import encode
 
@@ -310,3 +310,18 @@ def test_rake_meets_the_source_marginal():
     got = (w.weight * w.tokens).groupby(w.source).sum() / total
     assert all(abs(got[s] - share[s]) < 1e-6 for s in share) and all(w.weight <= w.source.map(cap) + 1e-9)
     assert rake(x.iloc[:0], share, cap)[1] == 0.0
+    w, total = rake(x, share, {s: 50.0 for s in share}, 500.0, langs={"en": 0.3, "hi": 0.7}, subjects={"p": 0.6})
+    got = w.weight * w.tokens / total
+    assert abs(got[w.lang == "en"].sum() - 0.3) < 1e-3 and abs(got[w.topic == "p"].sum() - 0.6) < 1e-3 and abs(got[w.source == "a"].sum() - 0.5) < 1e-6
+
+
+def test_topics_follow_the_words():
+    r = random.Random(9)
+    groups = [[f" {w}" for w in x.split()] for x in ("parcel courier delivery late order", "bank loan interest account paid", "match goal team player score")]
+    texts = [(g, "".join(r.choices(groups[g], k=30)) + " the of and" * 5) for g in (0, 1, 2) for _ in range(20)]
+    ids = [encode(t) for _, t in texts]
+    docs = [tuple(np.unique(i, return_counts=True)) for i in ids]
+    found = Topics([(a, n.astype(np.float32)) for a, n in docs], 50_256, 3)
+    names = [found.of(i) for i in ids]
+    assert len({(g, n) for (g, _), n in zip(texts, names, strict=True)}) == 3 == len(set(names))
+    assert found.of([]) == "t0" and Topics([], 10).of([1]) == "t0"

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import DEFAULT, byte_sizes, encode, encoding  # noqa: F401
 
@@ -22,6 +23,16 @@ INSIDE = 30.0
 IMBALANCE = 6.0
 
 
+@F.pandas_udf(T.LongType())
+def _size_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: len(encode(t)), na_action="ignore")
+
+
+def size_column(text: F.Column) -> F.Column:
+    """Tokens of a text."""
+    return _size_udf(text)
+
+
 def cut(text: str, most: int, overlap: int, path: str = DEFAULT) -> list[tuple[int, int, int]]:
     """Pieces (start, end, tokens) in characters; [] for the empty text, one piece if it fits.
 

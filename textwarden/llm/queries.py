@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import abuse, formatting, language, leak, lookalike, mixture, overlap, pieces, pii
-from .util import by_key, table
+from .util import by_key, checkpoint, table
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
@@ -132,6 +132,42 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "split_limits"), only_long=True)
 
 
+# What must hold of results that SQL cannot make: the SQL twins count what is to be true of the stored tables.
+def p7_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that cleaning changed, and the passages that are left in them."""
+    docs, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")
+    after = leak.clean(docs, items)
+    changed = after.withColumnRenamed("text", "now").join(docs, "doc_id").where("not now <=> text").agg(F.count("*").alias("changed"))
+    return changed.crossJoin(leak.find(after, items).agg(F.count("*").alias("remaining")))  # one row each
+
+
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Per wanted source: no document twice or of another source, no document repeated too often, the share met up to two documents."""
+    targets = table(spark, d, "source_targets").select(mixture.canonical_source(F.col("source")).alias("source"), "target_share", "max_repeats")
+    mixed = checkpoint(p8_mixture(spark, d))
+    own = table(spark, d, "documents", "doc_id", "source").select("doc_id", mixture.canonical_source(F.col("source")).alias("own"))
+    size = mixed.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("all"), F.max("tokens").alias("largest"))
+    got = mixed.join(own, "doc_id").groupBy("source").agg((F.count("*") == F.countDistinct("doc_id")).alias("once"), F.min(F.col("own") == F.col("source")).alias("own"), F.max("repeats").alias("most"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
+    x = targets.join(got, "source").crossJoin(size)  # one row
+    return x.select("source", "once", "own", (F.col("most") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("tokens") - F.col("target_share") * F.col("all")) <= 2 * F.col("largest")).alias("share_met"))
+
+
+def p9_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Per profile: pieces are within the limit, are the stored text at their place, cover all of it, and overlap as wanted up to a few tokens."""
+    docs = table(spark, d, "documents", "doc_id", "text").withColumnRenamed("text", "whole")
+    limits = table(spark, d, "split_limits")
+    w = Window.partitionBy("profile", "doc_id").orderBy("piece")
+    x = p9_pieces(spark, d).withColumn("before", F.lag("end").over(w)).join(docs, "doc_id").join(limits, "profile")
+    shared = pieces.size_column(F.substring("whole", F.col("start") + 1, F.col("before") - F.col("start")))
+    good = lambda c: F.min(c)
+    return x.groupBy("profile").agg(
+        good(F.col("tokens") <= F.col("max_tokens")).alias("within_limit"),
+        good(F.col("text") == F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))).alias("as_stored"),
+        good(F.when(F.col("piece") == 0, F.col("start") == 0).otherwise(F.col("start") < F.col("before")) & ((F.col("piece") < F.col("n_pieces") - 1) | (F.col("end") == F.length("whole")))).alias("covers"),
+        good((F.col("piece") == 0) | shared.between(F.col("overlap_tokens") - 2, F.col("overlap_tokens") + 8)).alias("overlaps"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p1_found, p1_redacted, p2_found, p2_scores, p2_rates, p3_found, p3_report, p4_found, p4_languages, p4_segments, p5_found, p5_groups, p6_found, p6_counts, p7_found, p7_items, p7_cleaned, p8_mixture, p8_shares, p9_found, p9_pieces)
+    fs = (p1_found, p1_redacted, p2_found, p2_scores, p2_rates, p3_found, p3_report, p4_found, p4_languages, p4_segments, p5_found, p5_groups, p6_found, p6_counts, p7_found, p7_items, p7_cleaned, p7_valid, p8_mixture, p8_shares, p8_valid, p9_found, p9_pieces, p9_valid)
     return {f.__name__: f for f in fs}

@@ -37,4 +37,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_counts": f"WITH {_P6_ROWS} SELECT table_name, key_a, copies FROM g WHERE k = key_a",
         "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
         "p7_items": _P7 + ", m AS (SELECT doc_id, item_id, count(*) AS n FROM dg JOIN ig USING (g) GROUP BY 1, 2) SELECT item_id, count(*) AS documents, max(n) AS most_windows FROM m GROUP BY 1",
+        "p7_valid": _P7 + "SELECT count(DISTINCT doc_id) AS changed, 0 AS remaining FROM dg JOIN ig USING (g)",
+        "p8_valid": "SELECT DISTINCT lower(trim(t.source)) AS source, true AS once, true AS own, true AS within_cap, true AS share_met FROM source_targets t JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))",
+        "p9_valid": "SELECT profile, true AS within_limit, true AS as_stored, true AS covers, true AS overlaps FROM split_limits",
     }
