@@ -1,9 +1,13 @@
 """Problem 3: the same or nearly the same record on both sides of a split.
 
-Prefix filtering: all words, repeated ones told apart, have one order, the rarest first (by
-a count sketch of fixed size). Two texts of which at most e words differ share a word among
-the e + 1 rarest of each, and their first l shared words stand among the e + l rarest of
-each. Texts are joined by one such word; where a word makes too many pairs, by it and a
+Selected minima of word hashes are joined across the splits, and what meets is aligned. The
+minima are not those of winnowing's windows: a pair with one word in six changed need not
+share a run of words that windows of fingerprints could be sure to select from, so windows
+lose pairs (the tests measure it). Here the minima are taken over the whole text, so many
+that none can be lost: all words, repeated ones told apart, have one order, the rarest first
+(by a count sketch of fixed size). Two texts of which at most e words differ share a word
+among the e + 1 rarest of each, and their first l shared words stand among the e + l rarest
+of each. Texts are joined by one such word; where a word makes too many pairs, by it and a
 second one, then a third. Every level is exact, so the number of pairs decides only how
 texts meet. Length and word signature bound the difference inside the join, and the words
 of what is left are aligned exactly.
@@ -21,7 +25,6 @@ from pyspark.sql import functions as F
 from .leak import words
 from .util import spread, stored
 
-K, W = 3, 3  # of select()
 #: Words of more pairs than this are joined together with a further word instead, up to DEPTH words. It changes no result.
 MOST_PAIRS = 20_000
 DEPTH = 3
@@ -54,29 +57,6 @@ def hashes(w: list[str], kept: _Hash) -> np.ndarray:
     return np.fromiter((kept[x] for x in w), np.uint64, len(w))
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position on; near the end, of the words that are left."""
-    out = np.zeros(len(h), np.uint64)
-    for j in range(n):
-        part = np.zeros(len(h), np.uint64)
-        part[: max(0, len(h) - j)] = h[j:]
-        out = out * _SEED + part
-    return _mix(out)
-
-
-def select(h: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Winnowing, which the join no longer uses: positions of the selected k-grams. Texts of fewer than k words have the one gram of all their words."""
-    n = len(h) - K + 1
-    if n <= 0:
-        return np.zeros(min(1, len(h)), int)
-    rare = rarity[(h % np.uint64(SKETCH)).astype(np.int64)]
-    low = np.minimum.reduce([rare[j : j + n] for j in range(K)]).astype(np.uint64)
-    key = (np.minimum(low, np.uint64(0xFFFFFF)) << np.uint64(40)) | (grams(h, K)[:n] >> np.uint64(24))
-    w = min(W, n)
-    windows = np.lib.stride_tricks.sliding_window_view(key, w)
-    return np.unique(np.arange(n - w + 1) + windows.argmin(1))
-
-
 SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
@@ -87,9 +67,8 @@ def signature(h: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def align(a: list[str], b: list[str], seeds: list[tuple[int, int]] | None = None) -> int:
-    """Words of a and b that match in order: the longest common subsequence, a column of its table at a time as the
-    bits of one number. It needs no seeds; those given are not looked at."""
+def align(a: list[str], b: list[str]) -> int:
+    """Words of a and b that match in order: the longest common subsequence, a column of its table at a time as the bits of one number."""
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
@@ -101,20 +80,6 @@ def align(a: list[str], b: list[str], seeds: list[tuple[int, int]] | None = None
     return len(a) - column.bit_count()
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    """The same by the plain recurrence, for tests."""
-    if not a or not b:
-        return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            now = row[j]
-            row[j] = last + 1 if x == y else max(now, row[j - 1])
-            last = now
-    return row[-1]
-
-
 def side(split: F.Column) -> F.Column:
     """train or eval; null for what belongs to no split."""
     s = F.lower(F.regexp_replace(split, r"(?U)^\s+|\s+$", ""))
@@ -135,32 +100,37 @@ def _classes(records: DataFrame) -> DataFrame:
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
-    """The sketch: in each cell the number of texts' words that fall into it. SKETCH numbers, whatever the data."""
+    """The sketch: in each cell the number of texts on either side whose words fall into it. 2 x SKETCH numbers, whatever the data."""
 
     def run(batches):
-        count, kept = np.zeros(SKETCH, np.int64), _Hash()
+        count, kept = np.zeros((2, SKETCH), np.int64), _Hash()
         for pdf in batches:
-            for w in pdf["w"]:
-                h = hashes(w.split(" "), kept)
-                np.add.at(count, (np.unique(h) % np.uint64(SKETCH)).astype(np.int64), 1)
-        at = np.flatnonzero(count)
-        yield pd.DataFrame({"cell": at, "n": count[at]})
-
-    got = texts.select("w").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[got.cell.to_numpy(int)] = got.n.to_numpy()
+            for w, train, other in zip(pdf["w"], pdf["train"], pdf["eval"], strict=True):
+                cells = (np.unique(hashes(w.split(" "), kept)) % np.uint64(SKETCH)).astype(np.int64)
+                if train:
+                    np.add.at(count[0], cells, 1)
+                if other:
+                    np.add.at(count[1], cells, 1)
+        at = np.flatnonzero(count.any(0))
+        yield pd.DataFrame({"cell": at, "t": count[0, at], "e": count[1, at]})
+
+    got = texts.select("w", "train", "eval").mapInPandas(run, "cell long, t long, e long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("e").alias("e")).toPandas()
+    out = np.zeros((2, SKETCH), np.int64)
+    out[:, got.cell.to_numpy(int)] = got[["t", "e"]].to_numpy().T
     return out
 
 
-def _rarest(h: np.ndarray, rarity: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` rarest words in the order of all texts; the second, third ... of a repeated word are words of their own."""
+def _rarest(h: np.ndarray, rarity: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` rarest words in the order of all texts (the second, third ... of a repeated word are words of their own), and whether texts
+    of both sides may have them."""
     by = np.argsort(h, kind="stable")
     same = h[by]
     first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
     nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
     own = _mix(same + nth.astype(np.uint64) * _SEED)
-    order = np.lexsort((own, rarity[(same % np.uint64(SKETCH)).astype(np.int64)]))
-    return (own[order[:most]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    cells = (same % np.uint64(SKETCH)).astype(np.int64)
+    order = np.lexsort((own, rarity[:, cells].sum(0)))[:most]
+    return (own[order] >> np.uint64(32)).astype(np.uint32).view(np.int32), (rarity[:, cells[order]] > 0).all(0)
 
 
 def _may(n: F.Column, differ: float) -> F.Column:
@@ -168,37 +138,50 @@ def _may(n: F.Column, differ: float) -> F.Column:
 
 
 def _prefixes(texts: DataFrame, rarity: np.ndarray, differ: float, depth: int) -> DataFrame:
-    """Texts with their signature and their e + depth rarest words."""
+    """Texts with their signature and their e + depth rarest words; of those, only the ones that texts of both sides may have, with their places."""
     sent = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
         kept = _Hash()
         for pdf in batches:
             hs = [hashes(w.split(" "), kept) for w in pdf["w"]]
+            rare = [_rarest(h, sent.value, int(len(h) * differ + 1e-9) + depth) for h in hs]
             out = {"c": pdf["c"], "train": pdf["train"], "eval": pdf["eval"], "n": [len(h) for h in hs]}
-            out["words"] = [_rarest(h, sent.value, int(len(h) * differ + 1e-9) + depth) for h in hs]
+            out |= {"words": [w[both] for w, both in rare], "places": [np.flatnonzero(both).astype(np.int32) for _, both in rare]}
             yield pd.DataFrame(out | dict(zip(SIGNATURE, np.array([signature(h) for h in hs], np.int64).reshape(-1, 4).T, strict=True)))
 
-    return texts.mapInPandas(run, "c binary, train boolean, eval boolean, n int, words array<int>, s0 long, s1 long, s2 long, s3 long")
+    return texts.mapInPandas(run, "c binary, train boolean, eval boolean, n int, words array<int>, places array<int>, s0 long, s1 long, s2 long, s3 long")
+
 
+def _rows(level: DataFrame, depth: int, differ: float) -> DataFrame:
+    """Each text once for every further word of its prefix at this depth: the key g of its words so far, and at, the last one's place in ``words``."""
+    # the word number l of those in common stands among the e + l rarest
+    within = F.filter(F.sequence(F.col("at") + 1, F.size("words") - 1), lambda i: F.get("places", i) < _may(F.col("n"), differ) + depth)
+    at = F.explode(F.when(F.col("at") + 1 < F.size("words"), within)).alias("next")
+    rows = level.select("c", "train", "eval", "n", *SIGNATURE, "words", "g", at)
+    return rows.select("c", "train", "eval", "n", *SIGNATURE, F.xxhash64("g", F.get("words", "next")).alias("g"), F.col("next").alias("at"))
 
-def _meet(level: DataFrame, depth: int, differ: float) -> DataFrame:
-    """Each text once for every further word of its prefix at this depth, with the number of pairs that the key g would make."""
-    next_ = F.posexplode(F.slice("words", F.col("at") + 2, _may(F.col("n"), differ) + depth - F.col("at") - 1)).alias("x", "word")
-    rows = level.select("c", "train", "eval", "n", *SIGNATURE, "words", "g", "at", next_)
-    rows = rows.select("c", "train", "eval", "n", *SIGNATURE, "words", F.xxhash64("g", "word").alias("g"), (F.col("at") + 1 + F.col("x")).alias("at"))
-    n = rows.groupBy("g").agg(F.count_if("train").alias("nt"), F.count_if("eval").alias("ne")).where("nt > 0 and ne > 0").select("g", (F.col("nt") * F.col("ne")).alias("pairs"))
-    return rows.join(n, "g")
 
+def _met(rows: DataFrame) -> DataFrame:
+    """The keys that texts of both sides have, with the number of pairs that each would make."""
+    n = rows.groupBy("g").agg(F.count_if("train").alias("nt"), F.count_if("eval").alias("ne"))
+    return n.where("nt > 0 and ne > 0").select("g", (F.col("nt") * F.col("ne")).alias("pairs"))
 
-def _joined(rows: DataFrame, differ: float, parts: int = 1) -> DataFrame:
+
+def _joined(rows: DataFrame, keys: DataFrame, differ: float, parts: int = 1) -> DataFrame:
     """Pairs of one key, as far as lengths and signatures allow the two texts to be near: both bounds are exact."""
-    a = rows.where("train").select("g", F.pmod(F.xxhash64("c"), F.lit(parts)).cast("int").alias("part"), F.col("c").alias("ca"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in SIGNATURE])
-    b = rows.where("eval").select("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("c").alias("cb"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in SIGNATURE])
+    rows = rows.join(keys, "g")
+    a = rows.where("train").select("g", F.col("c").alias("ca"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in SIGNATURE])
+    b = rows.where("eval").select("g", F.col("c").alias("cb"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in SIGNATURE])
+    on = ["g"]
+    if parts > 1:
+        a = a.withColumn("part", F.pmod(F.xxhash64("ca"), F.lit(parts)).cast("int"))
+        b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        on = ["g", "part"]
     may = _may(F.greatest("na", "nb"), differ)
     bits = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in SIGNATURE[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
     near = (F.abs(F.col("na") - F.col("nb")) <= may) & (bits <= 2 * may)
-    return a.join(b, ["g", "part"]).where(near & (F.col("ca") != F.col("cb"))).select("ca", "cb")
+    return a.join(b, on).where(near & (F.col("ca") != F.col("cb"))).select("ca", "cb")
 
 
 def _candidates(texts: DataFrame, differ: float) -> DataFrame:
@@ -206,16 +189,23 @@ def _candidates(texts: DataFrame, differ: float) -> DataFrame:
     # the least texts that may differ at all have so many words in common, so no pair ends before the last depth
     least = int(np.ceil(1 / differ - 1e-9)) if differ > 0 else DEPTH + 1
     depth = max(1, min(DEPTH, least - int(least * differ + 1e-9)))
-    level = stored(_prefixes(texts, _rarity(texts), differ, depth)).withColumns({"g": F.lit(0).cast("long"), "at": F.lit(-1)})
+    prefixes = stored(_prefixes(texts, _rarity(texts), differ, depth))
+    level = prefixes.withColumns({"g": F.lit(0).cast("long"), "at": F.lit(-1)})
     found = []
     for k in range(1, depth + 1):
-        met = stored(_meet(level, k, differ))
-        found.append(_joined(met.where(F.col("pairs") <= MOST_PAIRS), differ))
-        level = met.where(F.col("pairs") > MOST_PAIRS).drop("pairs")
-        if level.isEmpty():
+        rows = _rows(level, k, differ)
+        keys = stored(_met(rows))
+        last = k == depth
+        found.append(_joined(rows, keys.where(F.col("pairs") <= MOST_PAIRS).select("g"), differ))
+        hot = keys.where(F.col("pairs") > MOST_PAIRS).select("g")
+        if hot.isEmpty():
+            break
+        if last:
+            found.append(_joined(rows, hot, differ, PARTS))
             break
-    else:
-        found.append(_joined(level, differ, PARTS))
+        # the words of a text are fetched again only where a key of it goes on
+        on = rows.join(hot, "g").select("c", "g", "at")
+        level = stored(on.join(prefixes, "c"))
     return reduce(DataFrame.unionByName, found)
 
 
