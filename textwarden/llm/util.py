@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -37,8 +38,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As ``checkpoint``, but as a compressed columnar table in the same folder.
 
-    Later stages read only the columns they need, and joins know its size. The folder's
-    owner removes old tables; nothing in them is needed after the query.
+    Later stages read only the columns they need, and joins know its size. The table goes when
+    the driver's Python ends; after a crash the folder's owner removes it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -50,10 +51,29 @@ def stored(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="textwarden-checkpoint-"))
         shared = context.getCheckpointDir()
     path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def _remove() -> None:
+    """Deletes what ``stored`` wrote, while the session still lives."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        for path in _WRITTEN:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended already
+        return
+
+
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key, spread over all cores by that key in the one shuffle that the dedupe needs anyway.
 
