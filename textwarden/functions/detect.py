@@ -100,9 +100,14 @@ def pii_hit_sql(text: str, low: str, rule: Rule) -> str:
     return f"(contains({text}, {quote(word)}) AND {found})" if word else hit_sql(text, low, rule.pattern)
 
 
+def low_sql(text: str) -> str:
+    """Lower case as ignore-case patterns see it: the letters that fold to an ASCII letter are that letter."""
+    return f"lower(translate({text}, 'ſıİ\u212a', 'siik'))"
+
+
 def low_text(text: Column) -> Column:
-    """The lower-case text in which the rules' words are searched; callers that run several packs keep it as a column."""
-    return F.lower(text)
+    """The text in which the rules' words are searched; callers that run several packs keep it as a column. As ``low_sql``."""
+    return F.lower(F.translate(text, "ſıİ\u212a", "siik"))
 
 
 def keep_first(found: Column, same) -> Column:
@@ -118,7 +123,7 @@ def pii_all(text: str, categories: Sequence[str] | None = None, rules: Sequence[
 
     ``text`` and ``low`` (the lower-case text) name columns.
     """
-    low = low or f"lower({text})"
+    low = low or low_sql(text)
     handles = f"if(contains({text}, '@'), {spans_sql(text, _UPI.java)}, cast(array() AS array<struct<m:string,s:int,e:int>>))"
     parts = []
     for r in rules:
@@ -140,7 +145,7 @@ def pii(text: str, categories: Sequence[str] | None = None) -> Column:
 
 def first_per_category(text: str, rules: Sequence[Rule], low: str | None = None) -> Column:
     """The first match of each rule, in the order that the pack prescribes, then the first entry of each category."""
-    low = low or f"lower({text})"
+    low = low or low_sql(text)
     parts = []
     for r in rules:
         p = quote(r.java)
@@ -160,7 +165,7 @@ def finance(text: str, low: str | None = None) -> Column:
 
 def keyword(text: str, low: str | None = None) -> Column:
     """The first toxic rule that matches anywhere decides; its span is the whole text."""
-    low = low or f"lower({text})"
+    low = low or low_sql(text)
     whens = " ".join(f"WHEN {hit_sql(text, low, r.pattern)} THEN array({_detection_sql(r, f'substring({text}, 1, 100)', '0', f'length({text})', '[KEYWORD] ' + r.explanation)})" for r in TOXIC)
     return F.expr(f"CASE {whens} ELSE {_EMPTY} END")
 
@@ -208,7 +213,7 @@ def dynamic_threshold(text: Column, base: float = 0.7) -> Column:
 
 def escalation(text: str, learned: Sequence[tuple[str, str]] = (), low: str | None = None) -> Column:
     """struct<escalate, reason, confidence, names>: whether a text needs the slow check."""
-    low = low or f"lower({text})"
+    low = low or low_sql(text)
     found = "array_compact(array(" + ", ".join(f"if({hit_sql(text, low, p)}, {quote(n)}, NULL)" for n, p in [*V.SUSPICIOUS, *learned]) + "))"
     result = lambda e, r, c, n="cast(array() AS array<string>)": f"named_struct('escalate', {e}, 'reason', '{r}', 'confidence', {c}, 'names', {n})"
     count = f"size(filter(split({text}, {quote('(?U)' + chr(92) + 's+')}), w -> w <> ''))"
