@@ -108,6 +108,10 @@ def pattern_from_text(text: Column) -> tuple[Column, Column]:
     return regex, F.concat(F.lit("learned_"), F.substring(F.regexp_replace(body, "[^a-z0-9]+", "_"), 1, 20))
 
 
+#: Most templates of ``generate``.
+MOST_TEMPLATES = 10_000
+
+
 # ---- sets ------------------------------------------------------------------------------------------
 def union_sources(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """UNION ALL with a source tag; columns that a source lacks are null."""
@@ -137,8 +141,11 @@ def anti_existing(df: DataFrame, existing: DataFrame, text: str = "text") -> Dat
 
 
 def generate(templates: DataFrame, terms: DataFrame) -> DataFrame:
-    """Every template with every term in its place. Both are small literal lists; the larger is streamed."""
-    return templates.join(F.broadcast(terms)).select("template", "term", F.replace("template", F.lit("{}"), F.col("term")).alias("text"))
+    """Every template with every term in its place. Templates are written by hand and go to all tasks; terms may be many."""
+    few = templates.limit(MOST_TEMPLATES + 1).select(F.col("template"))
+    if few.count() > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return terms.crossJoin(F.broadcast(few)).select("template", "term", F.replace("template", F.lit("{}"), F.col("term")).alias("text"))
 
 
 # ---- balance, split, sample ------------------------------------------------------------------------
@@ -147,31 +154,55 @@ def hash_key(key: Column) -> Column:
     return F.pmod(key * F.lit(2654435761), F.lit(4294967296))
 
 
-def undersample(df: DataFrame, label: str, ratio: float, key: str) -> DataFrame:
-    """All toxic rows and at most ratio x as many safe ones, by hashed key."""
-    n = df.where(F.col(label) != "safe").count()
-    safe = df.where(F.col(label) == "safe").orderBy(hash_key(F.col(key)), key).limit(int(n * ratio))
-    return df.where(F.col(label) != "safe").unionByName(safe)
+BUCKETS = 4096
 
 
-def split_positions(df: DataFrame, key: str, within: Sequence[str] = (), cuts: Sequence[tuple[str, float]] = (("train", 0.8), ("val", 0.9), ("test", 1.0)), buckets: int = 4096) -> DataFrame:
-    """Adds split, by position in hashed order: exact shares per group.
+def positions(df: DataFrame, bucket: Column, order: Sequence, within: Sequence[str] = ()) -> DataFrame:
+    """Adds _pos (from 0) and _all (rows of the group): the position of each row of its group by bucket, then order.
 
-    No single task sorts a whole group: positions come from counts per hash bucket, added
-    up, plus the rank inside the bucket.
+    No task sorts a whole group: positions come from counts per bucket, added up, plus the rank inside the bucket.
     """
-    h = hash_key(F.col(key))
-    src = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / (4294967296 // buckets)).cast("int"))
+    src = df.withColumn("_b", bucket)
     per = src.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
     total = Window.partitionBy(*within)
     per = per.withColumn("_before", F.sum("_n").over(total.orderBy("_b")) - F.col("_n")).withColumn("_all", F.sum("_n").over(total)).drop("_n")
-    on = [src[c].eqNullSafe(per[c]) for c in within] + [src["_b"] == per["_b"]]
+    on = [src[c].eqNullSafe(per[c]) for c in within] + [src["_b"].eqNullSafe(per["_b"])]
     joined = src.join(per, reduce(lambda a, b: a & b, on)).select(src["*"], "_before", "_all")
-    pos = F.col("_before") + F.row_number().over(Window.partitionBy(*within, "_b").orderBy("_h", key)) - 1
+    rank = F.row_number().over(Window.partitionBy(*within, "_b").orderBy(*order))
+    return joined.withColumn("_pos", F.col("_before") + rank - 1).drop("_b", "_before")
+
+
+def undersample(df: DataFrame, label: str, ratio: float, key: str) -> DataFrame:
+    """All toxic rows and at most ratio x as many safe ones, by hashed key. Null labels count as toxic no more than as safe: they are left out.
+
+    The number of safe rows is a column of one row, not a limit in the plan; which rows are the first comes from counts per
+    bucket of the hash.
+    """
+    toxic, safe = df.where(F.col(label) != "safe"), df.where(F.col(label) == "safe")
+    wanted = toxic.agg(F.floor(F.count("*") * ratio).alias("_wanted"))
+    h = hash_key(F.col(key))
+    first = positions(safe, F.floor(h / (4294967296 // BUCKETS)).cast("int"), [h, key])
+    return toxic.unionByName(first.join(F.broadcast(wanted), F.col("_pos") < F.col("_wanted")).select(df.columns))
+
+
+def split_positions(df: DataFrame, key: str, within: Sequence[str] = (), cuts: Sequence[tuple[str, float]] = (("train", 0.8), ("val", 0.9), ("test", 1.0)), buckets: int = BUCKETS) -> DataFrame:
+    """Adds split, by position in hashed order: exact shares per group."""
+    h = hash_key(F.col(key))
+    at = positions(df, F.floor(h / (4294967296 // buckets)).cast("int"), [h, key], within)
     split = F.lit(cuts[-1][0])
     for name, cut in reversed(cuts[:-1]):
-        split = F.when(pos < F.floor(F.col("_all") * F.lit(cut)), name).otherwise(split)
-    return joined.withColumn("split", split).drop("_h", "_b", "_before", "_all")
+        split = F.when(F.col("_pos") < F.floor(F.col("_all") * F.lit(cut)), name).otherwise(split)
+    return at.withColumn("split", split).drop("_pos", "_all")
+
+
+def shuffled(df: DataFrame, key: str) -> DataFrame:
+    """A reproducible shuffle: ordered by hashed key, in ranges over all tasks."""
+    return df.orderBy(hash_key(F.col(key)), key)
+
+
+def annotator_label(label: Column, category: Column) -> Column:
+    """One label of an annotator's row: its kind of toxicity by category, safe, or harassment by default."""
+    return F.when(category == "hate_speech", "toxic_hate_speech").when(category == "harassment", "toxic_harassment").when(label == "safe", "safe").otherwise("toxic_harassment")
 
 
 def review_sample(df: DataFrame, group: str, key: str, k: int) -> DataFrame:

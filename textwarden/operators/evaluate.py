@@ -70,3 +70,54 @@ def class_weights(df: DataFrame, label: str, boost: dict[str, float] | None = No
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """label, label_id: position among the sorted distinct labels."""
     return df.where(F.col(label).isNotNull()).select(label).distinct().withColumn("label_id", F.row_number().over(Window.orderBy(label)) - 1)
+
+
+def softmax(scores: Column) -> Column:
+    """Probabilities of an array of scores; the largest is taken off first, so that no exponential overflows."""
+    top = F.array_max(scores)
+    raised = F.transform(scores, lambda x: F.exp(x - top))
+    return F.transform(raised, lambda x: x / F.aggregate(F.transform(scores, lambda y: F.exp(y - top)), F.lit(0.0), lambda a, y: a + y))
+
+
+def argmax(scores: Column) -> Column:
+    """Place (from 0) of the largest score, the first of equals; null for an empty array."""
+    return F.when(F.size(scores) > 0, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+
+
+def weighted_f1(report: DataFrame) -> DataFrame:
+    """Support-weighted means of a per-class report; one row."""
+    n = F.sum("support")
+    return report.agg(*[F.round(F.sum(F.col(c) * F.col("support")) / n, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def expert_set(df: DataFrame, category: str, key: str, ratio: float = 1.5, column: str = "category") -> DataFrame:
+    """key, target (1 of the category, 0 safe), split: all rows of one category, up to ratio x as many safe ones by hashed key, 90/10 within each side."""
+    from .curate import split_positions, undersample
+
+    rows = df.where(F.col(column).isin(category, "safe")).select(key, F.when(F.col(column) == category, 1).otherwise(0).alias("target"), F.when(F.col(column) == category, "toxic").otherwise("safe").alias("_side"))
+    return split_positions(undersample(rows, "_side", ratio, key), key, ["target"], (("train", 0.9), ("val", 1.0))).select(key, "target", "split")
+
+
+def baseline_scorer(df: DataFrame, text: str, label: str, weights: DataFrame | None = None, features: int = 1 << 16):
+    """A fitted pipeline (hashed words, logistic regression with class weights): the plain model to compare others with.
+
+    ``label``: 0.0 or 1.0; ``weights``: label, weight. Null texts and labels are left out of the fit.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("_text"), F.col(label).cast("double").alias("_label"))
+    if weights is not None:
+        rows = rows.join(F.broadcast(weights.select(F.col(label).cast("double").alias("_label"), F.col("weight").alias("_weight"))), "_label")
+    else:
+        rows = rows.withColumn("_weight", F.lit(1.0))
+    steps = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{M}\p{N}]+"), HashingTF(inputCol="_words", outputCol="_features", numFeatures=features), LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=30, regParam=1e-4)]
+    return Pipeline(stages=steps).fit(rows)
+
+
+def first_words(text: Column, most: int = 256) -> Column:
+    """A model's input: the first words of a text, one space between."""
+    from ..functions.detect import words
+
+    return F.array_join(F.slice(words(text), 1, most), " ")

@@ -67,6 +67,24 @@ def mark_trained(feedback: DataFrame, ids: DataFrame, at) -> DataFrame:
     return j.withColumn("included_in_training", hit | F.coalesce("included_in_training", F.lit(False))).withColumn("trained_at", F.when(hit, at).otherwise(F.col("trained_at"))).select(feedback.columns)
 
 
-def valid(feedback: DataFrame, most: int = 1000) -> DataFrame:
+def listed(feedback: DataFrame, tenant: str | None = None, pending: bool | None = None, most: int = 1000) -> DataFrame:
+    """The newest feedback, of one tenant if given, and only what is (not) reviewed if ``pending`` says so. A list of ``most`` rows is the feature."""
+    rows = feedback if tenant is None else feedback.where(F.col("tenant_id") == tenant)
+    done = F.coalesce("reviewed", F.lit(False))
+    rows = rows if pending is None else rows.where(~done if pending else done)
+    return rows.orderBy(F.desc("feedback_ts"), "feedback_id").limit(most)
+
+
+def request_cache(requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """What is kept of each decision for later feedback: its latest row, projected."""
+    newest = requests.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct("input_hash", "input_length", F.col("action").alias("decision"), "categories", "confidence", "tenant_id", "event_ts"), F.struct("event_ts", "input_hash")).alias("x"))
+    return newest.select(key, "x.*")
+
+
+#: A request id: a UUID.
+REQUEST_ID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def valid(feedback: DataFrame, most: int = 1000, request_id: str = REQUEST_ID) -> DataFrame:
     """Adds reject: the first reason why a feedback is not accepted, null if none."""
-    return feedback.withColumn("reject", F.when(~F.coalesce(F.col("request_id").rlike("^[0-9A-Za-z-]{8,64}$"), F.lit(False)), "request_id").when(~F.coalesce(kind(F.col("feedback_type")).isin("correct", "false_positive", "false_negative", "category_correction"), F.lit(False)), "feedback_type").when(F.length("comment") > most, "comment"))
+    return feedback.withColumn("reject", F.when(~F.coalesce(F.col("request_id").rlike(request_id), F.lit(False)), "request_id").when(~F.coalesce(kind(F.col("feedback_type")).isin("correct", "false_positive", "false_negative", "category_correction"), F.lit(False)), "feedback_type").when(F.length("comment") > most, "comment"))

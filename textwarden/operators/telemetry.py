@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,7 +56,50 @@ def grouped_totals(df: DataFrame, sets: Sequence[Sequence[str]], **aggs: Column)
     return out.agg(F.grouping_id().cast("int").alias("level"), *[a.alias(n) for n, a in aggs.items()])
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], delta: Column) -> DataFrame:
-    """In-flight gauge: the running sum of +1 and -1 events."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("in_flight", F.sum(delta).over(w))
+def running(df: DataFrame, by: Sequence[str], ts: str, order: Sequence[str], delta: Column, seconds: int = 3600) -> DataFrame:
+    """In-flight gauge: the running sum of +1 and -1 events, as column in_flight. Rows without a time come before all others.
+
+    One key's history is never one task's: sums per stretch of time are added up first, then each stretch runs by itself.
+    """
+    at = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds)
+    src = df.withColumn("_d", delta).withColumn("_b", at)
+    per = src.groupBy(*by, "_b").agg(F.sum("_d").alias("_n"))
+    per = per.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).drop("_n")
+    on = [src[c].eqNullSafe(per[c]) for c in (*by, "_b")]
+    joined = src.join(per, reduce(lambda a, b: a & b, on)).select(src["*"], "_before")
+    w = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn("in_flight", F.col("_before") + F.sum("_d").over(w)).drop("_d", "_b", "_before")
+
+
+def percentiles(df: DataFrame, by: str, value: str, named: dict[str, float], width: float = 1.0) -> DataFrame:
+    """Exact percentiles (the smallest value with at least that share of the rows at or below it) and n, per group.
+
+    Counts per group and bucket of ``width`` say in which bucket each rank lies; only there are values put in order, as counts of
+    distinct values. Null values do not count.
+    """
+    src = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
+    w = Window.partitionBy(by)
+    per = src.groupBy(by, "_b").agg(F.count("*").alias("_n"))
+    per = per.withColumn("_upto", F.sum("_n").over(w.orderBy("_b"))).withColumn("n", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ranks = F.array(*[F.struct(F.lit(k).alias("name"), F.greatest(F.ceil(F.col("n") * q), F.lit(1)).alias("rank")) for k, q in named.items()])
+    want = per.withColumn("_r", F.explode(ranks)).where((F.col("_r.rank") > F.col("_before")) & (F.col("_r.rank") <= F.col("_upto"))).select(by, "_b", "_before", "n", F.col("_r.name").alias("name"), F.col("_r.rank").alias("rank"))
+    counts = src.groupBy(by, "_b", "_v").agg(F.count("*").alias("_c"))
+    held = counts.alias("c").join(want.alias("w"), F.col(f"c.{by}").eqNullSafe(F.col(f"w.{by}")) & (F.col("c._b") == F.col("w._b"))).select(F.col(f"w.{by}").alias(by), "w._before", "w.n", "w.name", "w.rank", "c._v", "c._c")
+    at = held.withColumn("_at", F.col("_before") + F.sum("_c").over(Window.partitionBy(by, "name").orderBy("_v")))
+    one = at.where(F.col("_at") >= F.col("rank")).groupBy(by, "n", "name").agg(F.min("_v").alias("v"))
+    return one.groupBy(by, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in named]).select(by, *named, "n")
+
+
+def status_of(ms: Column) -> Column:
+    """Status class of a request: one that has no time has failed."""
+    return F.when(ms == -1, "5xx").otherwise("2xx")
+
+
+def promotion(stats: DataFrame, least: int = 1000, slower: float = 0.1) -> DataFrame:
+    """stats: arm (live, shadow), n, fp_rate, fn_rate, mean_ms. Whether the shadow model may take over, and each criterion; one row."""
+    pick = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    x = stats.agg(*[pick(a, c).alias(f"{a}_{c}") for a in ("live", "shadow") for c in ("n", "fp_rate", "fn_rate", "mean_ms")])
+    enough = F.coalesce(F.col("shadow_n") >= least, F.lit(False))
+    fp, fn = F.coalesce(F.col("shadow_fp_rate") <= F.col("live_fp_rate"), F.lit(False)), F.coalesce(F.col("shadow_fn_rate") < F.col("live_fn_rate"), F.lit(False))
+    fast = F.coalesce(F.col("shadow_mean_ms") <= F.col("live_mean_ms") * (1 + slower), F.lit(False))
+    return x.select(enough.alias("enough"), fp.alias("fp_ok"), fn.alias("fn_ok"), fast.alias("latency_ok"), (enough & fp & fn & fast).alias("promote"))

@@ -67,9 +67,10 @@ def dup_stats(spark, d):
     return C.duplicates(_sh(spark, d, "record_id", "text", "category"), "category")
 
 
-@query(f"SELECT md5(lower({_STRIP})) AS text_key, count(DISTINCT category) AS categories, count(*) AS n FROM {_SH} WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT category) > 1")
+@query(f"SELECT md5(lower({_STRIP})) AS text_key, count(DISTINCT source) AS categories, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def contamination(spark, d):
-    return C.contamination(_sh(spark, d, "record_id", "text", "category"), "category")
+    """Texts that stand under more than one source."""
+    return C.contamination(read(spark, d, "documents", "text", "source"), "source")
 
 
 for _c in ("label", "category", "source"):
@@ -112,11 +113,12 @@ def readiness(spark, d):
     return C.readiness(_sh(spark, d, "record_id", "text", "category", "source"), "category")
 
 
-@query(f"SELECT count(*) FILTER (lower(label) = 'safe' AND {any_sql('lower(text)', V.TOXIC_INDICATORS)}) AS toxic_in_safe, count(*) FILTER (lower(label) = 'toxic' AND {_NW} < 10 AND {any_sql('lower(text)', V.SAFE_INDICATORS)} AND NOT {any_sql('lower(text)', V.TOXIC_INDICATORS)}) AS safe_in_toxic, count(*) AS n FROM {_SH}")
+@query(f"SELECT count(*) FILTER (lower(label) = 'safe' AND {any_sql('lower(text)', V.TOXIC_INDICATORS)}) AS toxic_in_safe, count(*) FILTER (lower(label) = 'toxic' AND {_NW} < 10 AND {any_sql('lower(text)', V.SAFE_INDICATORS)} AND NOT {any_sql('lower(text)', V.TOXIC_INDICATORS)}) AS safe_in_toxic, count(*) AS n, round((count(*) FILTER (lower(label) = 'safe' AND {any_sql('lower(text)', V.TOXIC_INDICATORS)}) + count(*) FILTER (lower(label) = 'toxic' AND {_NW} < 10 AND {any_sql('lower(text)', V.SAFE_INDICATORS)} AND NOT {any_sql('lower(text)', V.TOXIC_INDICATORS)})) * 100 / count(*), 4) AS error_rate FROM {_SH}")
 def label_issues(spark, d):
     low, lab = F.lower("text"), F.lower("label")
     bad, calm = C.any_of(low, V.TOXIC_INDICATORS), C.any_of(low, V.SAFE_INDICATORS)
-    return _sh(spark, d, "record_id", "text", "label").agg(F.count_if((lab == "safe") & bad).alias("toxic_in_safe"), F.count_if((lab == "toxic") & (F.size(C.words(F.col("text"))) < 10) & calm & ~bad).alias("safe_in_toxic"), F.count("*").alias("n"))
+    x = _sh(spark, d, "record_id", "text", "label").agg(F.count_if((lab == "safe") & bad).alias("toxic_in_safe"), F.count_if((lab == "toxic") & (F.size(C.words(F.col("text"))) < 10) & calm & ~bad).alias("safe_in_toxic"), F.count("*").alias("n"))
+    return x.withColumn("error_rate", F.round((F.col("toxic_in_safe") + F.col("safe_in_toxic")) * 100 / F.col("n"), 4))
 
 
 @query(f"WITH c AS (SELECT category, count(*) AS n FROM {_SH} GROUP BY 1), t AS (SELECT coalesce(sum(n) FILTER (category <> 'safe'), 0) AS toxic FROM c) SELECT category, n, CASE WHEN n >= 1000 THEN 'good' WHEN n >= 300 THEN 'ok' ELSE 'weak' END AS status, CAST(floor(1.5 * n) AS BIGINT) AS safe_needed FROM c")
@@ -189,10 +191,10 @@ def relevance_filter(spark, d):
     return read(spark, d, "documents", "doc_id", "text").where(~t.isin("[deleted]", "[removed]") & (F.length(t) > 20) & (C.toxic_flag(t) | (F.length(t) > 500))).select("doc_id")
 
 
-@query("SELECT row_id, (length(text) - length(replace(text, '@', ''))) AS mentions FROM (SELECT DISTINCT * FROM hasoc_hindi_raw) WHERE length(text) - length(replace(text, '@', '')) > 1")
+@query("SELECT row_id, (length(text) - length(replace(text, '@', ''))) AS mentions FROM (SELECT DISTINCT * FROM hasoc_hindi_raw) WHERE length(text) - length(replace(text, '@', '')) >= 1")
 def mention_filter(spark, d):
     n = F.size(F.split("text", "@")) - 1
-    return read(spark, d, "hasoc_hindi_raw").distinct().select("row_id", n.alias("mentions")).where("mentions > 1")
+    return read(spark, d, "hasoc_hindi_raw").distinct().select("row_id", n.alias("mentions")).where("mentions >= 1")
 
 
 # ---- gold checks -----------------------------------------------------------------------------------
@@ -254,12 +256,24 @@ def review_sample(spark, d):
     return C.review_sample(read(spark, d, "documents", "channel", "doc_id"), "channel", "doc_id", 2).select("channel", "doc_id")
 
 
-@query("SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 20 AS BIGINT) AS batch FROM eval_items")
+@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 20 AS BIGINT) AS batch FROM documents")
 def batch_index(spark, d):
+    at = C.positions(read(spark, d, "documents", "doc_id"), F.floor(F.col("doc_id") / 10_000), ["doc_id"])
+    return at.select("doc_id", F.floor(F.col("_pos") / 20).alias("batch"))
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {_H}, doc_id")
+def shuffled(spark, d):
+    return C.shuffled(read(spark, d, "documents", "doc_id"), "doc_id")
+
+
+@query("SELECT category, text FROM (SELECT category, text, row_number() OVER (PARTITION BY category ORDER BY record_id) AS rn FROM (SELECT DISTINCT record_id, category, left(text, 60) AS text FROM self_harm_generated)) WHERE rn <= 5")
+def preview(spark, d):
+    """The first five of each category, cut to 60 characters (a preview: both limits are its feature)."""
     from pyspark.sql import Window
 
-    # a fixed list of items: one task numbers it
-    return read(spark, d, "eval_items", "item_id").select("item_id", F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / 20).alias("batch"))
+    x = read(spark, d, "self_harm_generated", "record_id", "category", F.substring("text", 1, 60).alias("text")).distinct()
+    return x.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("record_id"))).where("rn <= 5").select("category", "text")
 
 
 # ---- sets and joins --------------------------------------------------------------------------------
@@ -270,9 +284,19 @@ def union_sources(spark, d):
     return u.groupBy("dataset", "source").agg(F.count("*").alias("n"), F.count("label").alias("labelled"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM eval_items WHERE text IS NOT NULL)")
+_SIDES = "WITH s AS (SELECT DISTINCT record_id, text, lower(trim(split)) AS side FROM self_harm_generated), t AS (SELECT text FROM s WHERE side = 'train' AND text IS NOT NULL)"
+
+
+def _sides(spark, d):
+    s = _sh(spark, d, "record_id", "text", "split").withColumn("side", F.lower(F.trim("split")))
+    return s.where("side in ('val', 'test')"), s.where("side = 'train'")
+
+
+@query(_SIDES + " SELECT record_id FROM s WHERE side IN ('val', 'test') AND (text IS NULL OR text NOT IN (SELECT text FROM t))")
 def anti_existing(spark, d):
-    return C.anti_existing(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "text")).select("doc_id")
+    """Evaluation records whose text does not stand in train."""
+    other, train = _sides(spark, d)
+    return C.anti_existing(other, train.select("text")).select("record_id")
 
 
 @query("SELECT replace('people in {} say no', '{}', n_name) AS text FROM nation UNION ALL SELECT replace('go home to {}', '{}', n_name) FROM nation")
@@ -281,11 +305,11 @@ def template_cross(spark, d):
     return C.generate(t, read(spark, d, "nation", F.col("n_name").alias("term"))).select("text")
 
 
-@query("SELECT DISTINCT d.doc_id FROM documents d JOIN eval_items e ON d.text = e.text")
+@query(_SIDES + " SELECT record_id FROM s WHERE side IN ('val', 'test') AND text IN (SELECT text FROM t)")
 def exact_benchmark_hits(spark, d):
-    e = read(spark, d, "eval_items", F.col("text").alias("t"))
-    x = read(spark, d, "documents", "doc_id", "text")
-    return x.join(e, x["text"] == e["t"], "left_semi").select("doc_id").distinct()
+    """Evaluation records whose text stands in train as it is."""
+    other, train = _sides(spark, d)
+    return other.join(train.select(F.col("text").alias("t")), F.col("text") == F.col("t"), "left_semi").select("record_id")
 
 
 @query("""WITH v AS (SELECT user_id, event_type, count(*) AS c, min(event_id) AS f FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2),

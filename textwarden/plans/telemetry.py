@@ -94,7 +94,7 @@ def histogram_quantile(spark, d):
 @query(f"SELECT tenant_id, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99, count(*) AS n FROM {_OK} GROUP BY 1")
 def latency_percentiles(spark, d):
     r = _req(spark, d, "tenant_id", "ms").where("ms >= 0")
-    return r.groupBy("tenant_id").agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY ms)").alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.count("*").alias("n"))
+    return T.percentiles(r, "tenant_id", "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("""WITH s AS (SELECT client_ip, CAST(floor(epoch(event_ts)) AS BIGINT) AS sec, count(*) AS calls FROM (SELECT DISTINCT request_id, client_ip, event_ts FROM api_request) WHERE client_ip IS NOT NULL GROUP BY 1, 2),
@@ -134,14 +134,14 @@ def sliding_counts(spark, d):
 @query("SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS in_flight FROM events")
 def in_flight(spark, d):
     e = read(spark, d, "events", "event_id", "user_id", "event_type", "ts")
-    return T.running(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "purchase", -1).otherwise(1)).select("event_id", "in_flight")
+    return T.running(e, ["user_id"], "ts", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", -1).otherwise(1)).select("event_id", "in_flight")
 
 
 @query("""WITH m AS (SELECT max(CAST(ts AS DATE)) AS last FROM events) SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events, m WHERE CAST(ts AS DATE) > last - 7 GROUP BY 1, 2""")
 def last_seven_days(spark, d):
     e = read(spark, d, "events", "ts", "event_type").select(F.to_date("ts").alias("day"), "event_type")
-    last = e.agg(F.max("day").alias("last")).collect()[0]["last"]
-    return e.where(F.col("day") > F.date_sub(F.lit(last), 7)).groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    last = F.broadcast(e.agg(F.max("day").alias("last")))  # one row
+    return e.join(last, F.col("day") > F.date_sub("last", 7)).groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 20""")
@@ -193,7 +193,7 @@ def feedback_list(spark, d):
     return _fb(spark, d).orderBy(F.desc("feedback_ts"), "feedback_id").limit(1000).select("feedback_id")
 
 
-@query(f"SELECT feedback_id, CASE WHEN NOT coalesce(regexp_matches(request_id, '^[0-9A-Za-z-]{{8,64}}$'), false) THEN 'request_id' WHEN NOT coalesce({_KIND} IN ('correct', 'false_positive', 'false_negative', 'category_correction'), false) THEN 'feedback_type' WHEN length(comment) > 1000 THEN 'comment' END AS reject FROM {_F}")
+@query(f"SELECT feedback_id, CASE WHEN NOT coalesce(regexp_matches(request_id, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$'), false) THEN 'request_id' WHEN NOT coalesce({_KIND} IN ('correct', 'false_positive', 'false_negative', 'category_correction'), false) THEN 'feedback_type' WHEN length(comment) > 1000 THEN 'comment' END AS reject FROM {_F}")
 def feedback_validate(spark, d):
     return B.valid(_fb(spark, d)).select("feedback_id", "reject")
 
@@ -232,15 +232,20 @@ def mark_trained(spark, d):
 @query(f"WITH a AS (SELECT count(*) AS f, count(*) FILTER ({_KIND} = 'false_positive') AS fp, count(*) FILTER ({_KIND} = 'false_negative') AS fn FROM {_F}), b AS (SELECT count(DISTINCT request_id) AS r FROM api_request) SELECT round(f / r, 6) AS feedback_rate, round(fp / f, 6) AS fp_rate, round(fn / f, 6) AS fn_rate, f >= 500 AS enough, fp / f > 0.05 AS too_many_fp FROM a, b")
 def loop_metrics(spark, d):
     k = B.kind(F.col("feedback_type"))
-    n = read(spark, d, "api_request", "request_id").agg(F.countDistinct("request_id").alias("r")).collect()[0]["r"]
-    a = _fb(spark, d).agg(F.count("*").alias("f"), F.count_if(k == "false_positive").alias("fp"), F.count_if(k == "false_negative").alias("fn"))
-    return a.select(F.round(F.col("f") / n, 6).alias("feedback_rate"), F.round(F.col("fp") / F.col("f"), 6).alias("fp_rate"), F.round(F.col("fn") / F.col("f"), 6).alias("fn_rate"), (F.col("f") >= 500).alias("enough"), (F.col("fp") / F.col("f") > 0.05).alias("too_many_fp"))
+    n = read(spark, d, "api_request", "request_id").agg(F.countDistinct("request_id").alias("r"))
+    a = _fb(spark, d).agg(F.count("*").alias("f"), F.count_if(k == "false_positive").alias("fp"), F.count_if(k == "false_negative").alias("fn")).crossJoin(F.broadcast(n))  # one row each
+    return a.select(F.round(F.col("f") / F.col("r"), 6).alias("feedback_rate"), F.round(F.col("fp") / F.col("f"), 6).alias("fp_rate"), F.round(F.col("fn") / F.col("f"), 6).alias("fn_rate"), (F.col("f") >= 500).alias("enough"), (F.col("fp") / F.col("f") > 0.05).alias("too_many_fp"))
 
 
-@query(f"SELECT CAST(CAST(feedback_ts AS DATE) AS VARCHAR) AS day, count(*) FILTER ({_KIND} = 'false_negative') AS missed FROM {_F} GROUP BY 1 HAVING count(*) FILTER ({_KIND} = 'false_negative') > 10")
+@query(f"""WITH x AS (SELECT CAST(feedback_ts AS DATE) AS day, count(*) FILTER ({_KIND} = 'false_negative') AS missed FROM {_F} GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, missed, CAST(sum(missed) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS week FROM x QUALIFY week > 10""")
 def retrain_days(spark, d):
-    x = _fb(spark, d).groupBy(F.to_date("feedback_ts").cast("string").alias("day")).agg(F.count_if(B.kind(F.col("feedback_type")) == "false_negative").alias("missed"))
-    return x.where("missed > 10")
+    """Days on which more than ten missed texts of the last seven days ask for a new training. The window runs over one row per day."""
+    from pyspark.sql import Window
+
+    x = _fb(spark, d).groupBy(F.to_date("feedback_ts").alias("day")).agg(F.count_if(B.kind(F.col("feedback_type")) == "false_negative").alias("missed"))
+    w = Window.orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(-6, 0)
+    return x.withColumn("week", F.sum("missed").over(w)).where("week > 10").select(F.col("day").cast("string").alias("day"), "missed", "week")
 
 
 @query(f"SELECT 'requests_total{{action=\"' || coalesce(action, '') || '\"}} ' || CAST(count(*) AS VARCHAR) AS line FROM {_R} GROUP BY action")
