@@ -142,7 +142,117 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     assert sorted((r.client, r.ts, r.allowed) for r in got.collect()) == want
 
 
-def test_every_query_has_a_plan(spark):
+def clicks(spark, n=120, clients=3):
+    rows = [(i, f"c{i * i % clients}", f"2024-01-{1 + i // 40:02d} {i % 24:02d}:{i % 60:02d}:{i % 7:02d}", i % 3 > 0) for i in range(n)] + [(n, None, "2024-01-01 00:00:00", True), (n + 1, "c0", None, True)]
+    return spark.createDataFrame(rows, "event_id long, client string, ts string, ok boolean").withColumn("ts", F.to_timestamp("ts"))
+
+
+def test_state_goes_from_range_to_range(spark):
+    df = clicks(spark, 60)
+    for run in (S.limiter_batch, S.budget_batch):
+        want = sorted(map(tuple, run(df.select("event_id", "client", "ts")).collect()))
+        assert len(want) == 60 and sorted(map(tuple, run(df.select("event_id", "client", "ts"), most=9).collect())) == want
+    want = sorted(map(tuple, S.breaker_batch(df).collect()))
+    assert sorted(map(tuple, S.breaker_batch(df, most=12).collect())) == want
+    assert S.limiter_batch(df.select("event_id", "client", "ts").limit(0)).count() == 0
+    edges = S._edges(df.where("client is not null and ts is not null"), 10)
+    assert len(edges) > 3 and edges == sorted(set(edges))
+
+
+def test_breaker_and_budget_streams_equal_batch(spark, tmp_path):
+    df = clicks(spark).where("client is not null and ts is not null")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    got = S.run_to_end(S.breaker_stream(S.events(spark, str(tmp_path / "e"), df.schema)), "breaker_test").select("client", "ts", "ok", "admitted", "state")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.breaker_batch(df).collect()))
+    got = S.run_to_end(S.budget_stream(S.events(spark, str(tmp_path / "e"), df.schema)), "budget_test").select("client", "ts", "called")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.budget_batch(df).collect()))
+
+
+def test_gates_of_the_judge():
+    said = []
+
+    def answer(prompt):
+        said.append(prompt)
+        if "fail" in prompt:
+            raise ValueError("no")
+        return "CLASSIFICATION: safe"
+
+    def run(rows, **more):
+        state, out = None, []
+        for t, p in rows:
+            state, (status, _) = S.gated_step(state, t, p, answer, more.get("rpm", 30), more.get("daily", 10.0), lambda p, a: 1.0, 2, 30.0, 1, more.get("retries", 1))
+            out.append(status)
+        return out
+
+    assert run([(0, "a"), (1, "a"), (2, "a"), (70, "a")], rpm=2) == ["called", "called", "rate_limited", "called"]
+    assert run([(0, "a"), (100, "a"), (200, "a"), (90_000, "a")], daily=2.0) == ["called", "called", "cost_cap", "called"]
+    assert run([(0, "fail"), (1, "fail"), (2, "a"), (40, "a"), (41, "a")]) == ["failed", "failed", "breaker_open", "called", "called"]
+    said.clear()
+    assert run([(0, "fail")], retries=3) == ["failed"] and len(said) == 3
+    assert [S.backoff(i) for i in (0, 1, 2, 9)] == [1.0, 2.0, 4.0, 60.0] and S.backoff(0, jitter=0.5) == 1.5
+
+
+def test_percentiles_gauges_and_positions(spark):
+    rows = [("a", float(v)) for v in (5, 5, 5, 1, 9, 2.5, 7.25)] + [("b", 3.0), ("c", None), (None, 4.0), (None, 6.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p50, r.p90, r.n) for r in T.percentiles(df, "g", "v", {"p50": 0.5, "p90": 0.9}).collect()}
+    assert got == {"a": (5.0, 9.0, 7), "b": (3.0, 3.0, 1), None: (4.0, 6.0, 2)}
+    assert T.percentiles(df.limit(0), "g", "v", {"p": 0.5}).count() == 0
+    e = clicks(spark, 60).where("ts is not null")
+    got = {r.event_id: r.in_flight for r in T.running(e, ["client"], "ts", ["ts", "event_id"], F.lit(1), seconds=60).collect()}
+    by: dict = {}
+    for r in sorted(e.collect(), key=lambda r: (r.ts, r.event_id)):
+        by[r.client] = by.get(r.client, 0) + 1
+        assert got[r.event_id] == by[r.client]
+    at = C.positions(spark.range(1000).withColumnRenamed("id", "k"), F.floor(F.col("k") / 7), ["k"])
+    assert at.where("_pos <> k").count() == 0
+    one = C.undersample(spark.createDataFrame([(1, "safe"), (2, None)], "k long, label string"), "label", 1.5, "k")
+    assert one.count() == 0
+
+
+def test_model_errors_are_noted_and_unsure_rows_are_judged(spark):
+    from textwarden.operators import scorer as M
+    from textwarden.operators.decide import analyze
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    def model(texts):
+        return [("harassment", 0.65 if "maybe" in t else 0.95 if "surely" in t else 0.1) for t in texts]
+
+    rows = [(1, "surely this is a longer text"), (2, "maybe this is a longer text"), (3, "nothing to see in this text"), (4, None), (5, ""), (6, "maybe write to a.b@mailbox.example")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.toxicity_source, r.action, r.score_error) for r in analyze(df, scorer=M.model_scorer(broken)).collect()}
+    assert got[1][2].startswith("RuntimeError") and got[4] == ("none", "allow", None) and got[6][1] == "redact"
+    yes = M.judge(lambda ps: ["CLASSIFICATION: threat\nCONFIDENCE: low\nREASON: x" for _ in ps])
+    got = {r.doc_id: (r.toxicity_source, r.action) for r in analyze(df, scorer=M.model_scorer(model), judge=yes).collect()}
+    assert got == {1: ("model", "block"), 2: ("judge", "block"), 3: ("none", "allow"), 4: ("none", "allow"), 5: ("none", "allow"), 6: ("none", "redact")}
+    no = M.judge(lambda ps: ["CLASSIFICATION: safe" for _ in ps])
+    assert analyze(df, scorer=M.model_scorer(model), judge=no).where("doc_id = 2 and action = 'allow'").count() == 1
+    plan = analyze(df, scorer=M.model_scorer(model)).where("action = 'block'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[KEYWORD]") == analyze(df)._jdf.queryExecution().optimizedPlan().toString().count("[KEYWORD]") > 0
+
+
+def test_named_files_documents_and_ids(spark, tmp_path):
+    df = spark.createDataFrame([("x", "a"), ("y", "b"), ("z", None)], "text string, category string")
+    W.named_jsonl(df, str(tmp_path / "n"))
+    assert sorted(p.name for p in (tmp_path / "n").iterdir() if p.suffix == ".jsonl") == ["a.jsonl", "b.jsonl"]
+    W.json_document(df.select(F.col("text").alias("pattern")), str(tmp_path / "d"), "2025-01-01")
+    assert R.json_document(spark, str(tmp_path / "d")).collect()[0].metadata.total_patterns == 3
+    f = spark.createDataFrame([("0e10e3ae-7062-4771-a0c9-c73394514bec", "correct", None), ("abc-12345678", "correct", None), (None, "correct", None)], "request_id string, feedback_type string, comment string")
+    assert [r.reject for r in B.valid(f).collect()] == [None, "request_id", "request_id"]
+
+
+def test_every_injection_and_finance_rule_has_evidence():
+    import re
+
+    from textwarden.plans.evidence import TEXTS
+    from textwarden.rules.packs import FINANCE, INJECTION
+
+    assert all(any(re.search(r.pattern, t) for t in TEXTS) for r in (*INJECTION, *FINANCE))
+
+
+def test_entry_runs_and_sql_belongs_to_queries(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import curation, decisions, streams, surface, telemetry  # noqa: F401
+from .plans import curation, decisions, evidence, files, service, streams, surface, telemetry  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

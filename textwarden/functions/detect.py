@@ -65,6 +65,11 @@ def hit_sql(text: str, low: str, pattern: str) -> str:
     return f"({_contains_sql(low, words_)} AND {found})" if words_ else found
 
 
+def hit_expr(text: str, low: str, pattern: str) -> Column:
+    """As ``hit_sql``."""
+    return F.expr(hit_sql(text, low, pattern))
+
+
 def spans_sql(text: str, pattern: str, group: int = 0) -> str:
     """As ``spans``."""
     p = quote(pattern)

@@ -120,21 +120,9 @@ def _first_sql(rules) -> str:
     return " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, CASE " + " ".join(f"WHEN {hit('text', r.pattern)} THEN {lit(r.explanation)}" for r in rules if r.category == c) + " END AS explanation FROM documents" for c in cats)
 
 
-@query(f"SELECT * FROM ({_first_sql(INJECTION)}) WHERE explanation IS NOT NULL")
-def injection_first_match(spark, d):
-    return _low(_docs(spark, d)).select("doc_id", F.explode(D.injection("text", "low")).alias("x")).select("doc_id", "x.category", "x.explanation")
-
-
 _FIN = sorted(FINANCE, key=lambda r: r.severity, reverse=True)
 
 
-@query(f"SELECT * FROM ({_first_sql(_FIN)}) WHERE explanation IS NOT NULL")
-def finance_first_match(spark, d):
-    return _low(_docs(spark, d)).select("doc_id", F.explode(D.finance("text", "low")).alias("x")).select("doc_id", "x.category", "x.explanation")
-
-
-
-
 def _key(value) -> str:
     return "CASE " + " ".join(f"WHEN {hit('text', r.pattern)} THEN {lit(value(r))}" for r in TOXIC) + " END"
 
@@ -226,11 +214,6 @@ def policy_pii_types(spark, d):
     return analyze(_docs(spark, d), Policy(pii_types=("pii_email",), detect_injection=False, detect_finance=False, detect_toxicity=False)).groupBy("action").agg(F.count("*").alias("documents"))
 
 
-@query("SELECT 'allow' AS action, count(*) AS documents FROM documents")
-def policy_threshold(spark, d):
-    return analyze(_docs(spark, d), Policy(pii_threshold=0.99, detect_injection=False, detect_finance=False, detect_toxicity=False)).groupBy("action").agg(F.count("*").alias("documents"))
-
-
 @query("SELECT CASE WHEN regexp_matches(text, '(?i)chirpora') THEN 'allow_with_warning' ELSE 'allow' END AS action, count(*) AS documents FROM documents GROUP BY 1")
 def policy_custom_pattern(spark, d):
     p = Policy(custom_patterns=(("brand", "(?i)chirpora"),), detect_pii=False, detect_injection=False, detect_finance=False, detect_toxicity=False)
@@ -275,28 +258,9 @@ def input_rejects(spark, d):
     return _docs(spark, d).select("doc_id", F.when(t.isNull() | (D.strip(t) == ""), "blank").when(F.length(t) > 50_000, "too_long").alias("reject")).where("reject is not null")
 
 
-def lexicon(texts):
-    """A stand-in model: the share of listed words, as (label, score)."""
-    bad = set(V.TOXIC_WORDS)
-    return [("harassment", 0.9) if bad & set(t.lower().split()) else ("safe", 0.9) for t in texts]
-
-
-@query()
-def scorer_residue(spark, d):
-    g = read(spark, d, "gold_v1", "id", "text").distinct()
-    return analyze(g, scorer=S.model_scorer(lexicon)).select("id", "action", F.array_join("categories_found", ",").alias("categories"))
-
-
 @query("""WITH a AS (SELECT DISTINCT id, labels.category AS c, labels.severity AS s FROM gold_v1), b AS (SELECT id, c, coalesce(s, 0) / 4.0 AS p FROM a)
 SELECT id, NOT (c = 'safe') AS toxic, CAST(CASE WHEN c = 'safe' THEN 0.9 ELSE round_even(0.9 * p, 4) END AS DOUBLE) AS confidence, CASE c WHEN 'hate_speech' THEN 'toxic_hate' WHEN 'sexual' THEN 'toxic_sexual' WHEN 'self_harm' THEN 'toxic_self_harm' ELSE 'toxic_harassment' END AS mapped FROM b WHERE c IS NOT NULL""")
 def two_stage_compose(spark, d):
     g = read(spark, d, "gold_v1", "id", "labels").select("id", F.col("labels.category").alias("c"), F.col("labels.severity").alias("s")).distinct().where("c is not null")
     x = g.select("id", "c", S.two_stage(F.when(F.col("c") == "safe", "safe").otherwise("toxic"), F.lit(0.9), F.col("c"), F.coalesce("s", F.lit(0)) / 4.0).alias("r"))
     return x.select("id", "r.toxic", "r.confidence", S.label_map(F.col("c"), S.LABELS, ("toxic_harassment", "high"))[0].alias("mapped"))
-
-
-@query()
-def judge_answers(spark, d):
-    g = read(spark, d, "gold_v1", "id", "labels").distinct()
-    answer = F.concat(F.lit("CLASSIFICATION: "), F.upper("labels.category"), F.lit("\nCONFIDENCE: High\nREASON: label"))
-    return g.where("labels.category is not null").select("id", S.parse_answer(answer).alias("a")).select("id", "a.*")

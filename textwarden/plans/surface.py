@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import detect as D
 from ..operators import curate as C
 from ..rules import fixed_values as V
-from ..rules.packs import PACKS, TOXIC
+from ..rules.packs import TOXIC
 from .decisions import hit
 from .registry import any_sql, query, read
 from .telemetry import _R, _req
@@ -62,14 +62,6 @@ def key_validation(spark, d):
     return r.join(k, r["tenant_id"] == k["kt"], "left").select("request_id", F.when(F.col("tenant_id").isNull(), 401).when(F.col("kt").isNull(), 403).otherwise(200).alias("status"), "tier")
 
 
-_RULES = [(p, r.category, r.severity, len([x for x in rules if x.category == r.category])) for p, rules in PACKS.items() for r in {x.category: x for x in reversed(rules)}.values()]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c}', {n})" for p, c, _, n in _RULES) + ") AS t(pack, category, rules)")
-def category_list(spark, d):
-    return spark.createDataFrame([(p, c, n) for p, c, _, n in _RULES], "pack string, category string, rules int")
-
-
 _SHC = "(SELECT DISTINCT ON (id) id, labels.category AS category FROM gold_v1 WHERE labels.category IS NOT NULL)"
 
 

@@ -335,3 +335,11 @@ HINGLISH_SHORT = ['bhai', 'yaar', 'kya', 'hai', 'nahi', 'kaise', 'accha', 'bahut
 
 # Words of the toxic flag
 TOXIC_WORDS = ['chutiya', 'bc', 'mc', 'bhenchod', 'madarchod', 'sala', 'saala', 'kamina', 'harami', 'gandu', 'lodu', 'bhosdike', 'randi', 'gadha', 'ullu', 'bewakoof', 'nalayak', 'nikamma', 'tatti', 'hate', 'stupid', 'idiot', 'worst', 'pathetic', 'trash', 'kill', 'die', 'murder', 'terrorist', 'anti-national']
+
+# Tiers of listed words with severity and decision.
+SLUR_TIERS = {
+    1: (("madarchod", "bhenchod", "bhosdike"), 4, "BLOCK"),
+    2: (("chutiya", "gandu", "randi"), 3, "BLOCK"),
+    3: (("sala", "kamina", "gadha", "ullu"), 2, "WARN"),
+    4: (("pagal", "bewakoof"), 1, "ALLOW or WARN"),
+}

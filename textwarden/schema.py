@@ -13,3 +13,6 @@ CATEGORIES = ("safe", "harassment", "hate_speech", "sexual", "self_harm", "threa
 ACTIONS = ("allow", "allow_with_warning", "redact", "block")
 SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 FEEDBACK_TYPES = ("correct", "false_positive", "false_negative", "category_correction")
+CATEGORY_CODES = {"harassment": 0, "hate_speech": 1, "threat": 2, "violence": 3, "sexual": 4, "self_harm": 5, "fraud_or_scam": 6, "other": 7, "safe": 8}
+# Typical decision of each severity.
+SEVERITY_BANDS = {0: "ALLOW", 1: "ALLOW or WARN", 2: "WARN", 3: "BLOCK", 4: "BLOCK"}

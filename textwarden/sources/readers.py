@@ -17,16 +17,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = S.EXAMPLE) -> DataFrame:
-    """One object per line; fields that a line lacks are null, broken lines are dropped."""
-    return _whole(_lenient(spark, schema).json(path))
+    """One object per line; fields that a line lacks are null, broken and blank lines are dropped."""
+    return _objects(spark.read.text(path), schema).select("j.*").drop("_broken")
 
 
-def _lenient(spark: SparkSession, schema: str):
-    return spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken")
-
-
-def _whole(df: DataFrame) -> DataFrame:
-    return df.where("_broken is null").drop("_broken")
+def _objects(lines: DataFrame, schema: str, *more: Column) -> DataFrame:
+    """j: the object of each line that holds one. Parsed as a column: a reader of JSON files cannot count what it drops once columns are pruned."""
+    j = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return lines.where(F.trim("value") != "").select(j.alias("j"), *more).where("j is not null and j._broken is null")
 
 
 def jsonl_optional(spark: SparkSession, path: str, schema: str = S.EXAMPLE) -> DataFrame:
@@ -37,8 +35,8 @@ def jsonl_optional(spark: SparkSession, path: str, schema: str = S.EXAMPLE) -> D
 def jsonl_dir(spark: SparkSession, path: str, schema: str = S.EXAMPLE, exclude: Sequence[str] = ("router",)) -> DataFrame:
     """A folder of JSON lines, the file's name as category; files of the excluded names left out."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.jsonl?$", 1)
-    df = _whole(_lenient(spark, schema).option("pathGlobFilter", "*.jsonl").json(path).withColumn("_file", name))
-    return df.where(~F.col("_file").isin(*exclude)).withColumn("category", F.col("_file")).drop("_file")
+    df = _objects(spark.read.option("pathGlobFilter", "*.jsonl").text(path), schema, name.alias("_file")).where(~F.col("_file").isin(*exclude))
+    return df.select("j.*", "_file").drop("_broken", "category").withColumnRenamed("_file", "category")
 
 
 def json_document(spark: SparkSession, path: str, schema: str = S.LEARNED) -> DataFrame:
@@ -103,3 +101,21 @@ def api_keys(spec: Column) -> Column:
     parts = F.transform(F.split(spec, ","), lambda x: F.split(F.trim(x), ":"))
     rows = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.coalesce(F.get(p, F.lit(1)), F.lit("default")).alias("tenant"), F.coalesce(F.get(p, F.lit(2)), F.lit("free")).alias("tier")))
     return F.filter(rows, lambda r: F.length(r["key"]) >= 16)
+
+
+def searches(df: DataFrame, body: str = "body") -> DataFrame:
+    """query, video, text of JSON documents {query, videos: [{title, comments: [{text}]}]}."""
+    kind = "query string, videos array<struct<title:string,comments:array<struct<text:string>>>>"
+    x = df.select(F.from_json(body, kind).alias("x")).select("x.query", F.explode("x.videos").alias("v"))
+    return x.select("query", F.col("v.title").alias("video"), F.explode("v.comments").alias("c")).select("query", "video", "c.text")
+
+
+def catalogue(df: DataFrame, body: str = "body") -> DataFrame:
+    """key and megabytes of the files of a catalogue record {files: [{key, size}]}."""
+    x = df.select(F.explode(F.from_json(body, "files array<struct<key:string,size:long>>")["files"]).alias("f"))
+    return x.select("f.key", (F.coalesce("f.size", F.lit(0)) / 1048576).alias("mb"))
+
+
+def prefix(df: DataFrame, key: str, start: str) -> DataFrame:
+    """Rows whose key begins so; on a partition column no other folder is read."""
+    return df.where(F.col(key).startswith(start))

@@ -17,6 +17,44 @@ def by_category(df: DataFrame, path: str, column: str = "category") -> None:
     df.write.mode("overwrite").partitionBy(column).json(path)
 
 
+def named_jsonl(df: DataFrame, path: str, column: str = "category") -> None:
+    """One file per value of ``column``, named after it: for the small sets that tools read by file name. Values are written one after
+    the other by their own jobs; more than 1,000 of them are refused."""
+    spark = df.sparkSession
+    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(1_001).collect()]
+    if len(values) > 1_000:
+        raise ValueError("more than 1,000 values")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for v in sorted(map(str, values)):
+        part = f"{path}/_{v}"
+        df.where(F.col(column).cast("string") == v).drop(column).coalesce(1).write.mode("overwrite").json(part)
+        fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        (found,) = [x.getPath() for x in fs.globStatus(fs_path(part + "/part-*"))]
+        fs.delete(fs_path(f"{path}/{v}.jsonl"), False)
+        fs.rename(found, fs_path(f"{path}/{v}.jsonl"))
+        fs.delete(fs_path(part), True)
+
+
+def by_split(df: DataFrame, path: str, column: str = "split") -> None:
+    """One folder per split below ``splits``, and all rows below ``all``."""
+    df.write.mode("overwrite").partitionBy(column).json(path + "/splits")
+    df.write.mode("overwrite").json(path + "/all")
+
+
+def json_document(rules: DataFrame, path: str, now: str) -> None:
+    """One JSON document {patterns: [...], metadata: {created, last_updated, total_patterns}} with its counts refreshed.
+
+    Learned rules are reviewed by hand, so they are few: more than 100,000 are refused.
+    """
+    n = rules.limit(100_001).count()
+    if n > 100_000:
+        raise ValueError("more than 100,000 rules")
+    fields = ("pattern", "name", "category", "source_feedback", "added_at")
+    one = F.struct(*[(F.col(c) if c in rules.columns else F.lit(None)).cast("string").alias(c) for c in fields])
+    doc = rules.agg(F.array_sort(F.collect_list(one)).alias("patterns"), F.count("*").cast("int").alias("n"))
+    doc.select("patterns", F.struct(F.lit(now).alias("created"), F.lit(now).alias("last_updated"), F.col("n").alias("total_patterns")).alias("metadata")).coalesce(1).write.mode("overwrite").json(path)
+
+
 def router(df: DataFrame) -> DataFrame:
     """text and its category as label."""
     return df.select("text", F.col("category").alias("label"))
