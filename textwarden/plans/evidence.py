@@ -181,6 +181,32 @@ def decision_json(spark, d):
     return back.select("doc_id", "d.action", F.array_join("d.categories_found", ",").alias("categories"))
 
 
+_PLAIN_TYPES = ("pii_email", "pii_pan", "pii_ifsc", "pii_gst", "pii_ip_address")  # their spans never meet, so SQL may replace one kind after the other
+
+
+def _redacted_sql() -> str:
+    x = "text"
+    for r in PII:
+        if r.category in _PLAIN_TYPES:
+            x = f"regexp_replace({x}, {lit(r.pattern)}, '[REDACTED]', 'g')"
+    return x
+
+
+@query(f"WITH {_BOTH} SELECT doc_id, {_redacted_sql()} AS redacted_text FROM both_ WHERE {' OR '.join(hit('text', r.pattern) for r in PII if r.category in _PLAIN_TYPES)}")
+def redact_types(spark, d):
+    """Redaction of several kinds at once."""
+    p = Policy(pii_types=_PLAIN_TYPES, detect_injection=False, detect_finance=False, detect_toxicity=False)
+    return analyze(_both(spark, d).drop("low"), p).where("action = 'redact'").select("doc_id", "redacted_text")
+
+
+@query(_DECIDE.replace("FROM documents", "FROM both_ WHERE text IS NULL OR length(text) > 12").replace("WITH a AS", f"WITH {_BOTH}, a AS") + ", r AS (SELECT doc_id, action, unnest(CASE WHEN len(cats) = 0 THEN [NULL] ELSE cats END) AS c FROM e) SELECT doc_id, action, CASE max(sev) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' END AS max_severity, CAST(coalesce(max(conf), 0) AS DOUBLE) AS max_confidence FROM r LEFT JOIN (VALUES " + ", ".join(f"('{c}', {['low', 'medium', 'high', 'critical'].index(v)}, {k})" for c, (v, k) in {r.category: (r.severity, r.confidence) for p in (PII, FINANCE) for r in p}.items()) + ") AS k(c, sev, conf) USING (c) WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.doc_id = r.doc_id AND (len(x.tox) > 0 OR len(x.inj) > 0)) GROUP BY 1, 2")
+def decision_severity(spark, d):
+    """Highest severity and confidence, where neither keyword nor injection rules speak (each other category has one severity)."""
+    x = analyze(_both(spark, d).drop("low").where("text is null or length(text) > 12"))
+    other = ~F.arrays_overlap("categories_found", F.array(F.lit("prompt_injection"), F.lit("jailbreak_attempt")))
+    return x.where((F.col("toxicity_source") == "none") & other).select("doc_id", "action", "max_severity", "max_confidence")
+
+
 @query("""SELECT * FROM (VALUES ('pii_email', 'pii'), ('pii_phone', 'pii'), ('pii_credit_card', 'pii'), ('pii_ssn', 'pii'), ('pii_aadhaar', 'pii'), ('pii_pan', 'pii'), ('pii_bank_account', 'pii'), ('pii_ifsc', 'pii'), ('pii_upi', 'pii'), ('pii_demat', 'pii'), ('pii_gst', 'pii'), ('pii_api_key', 'pii'), ('pii_password', 'pii'), ('pii_ip_address', 'pii'),
 ('prompt_injection', 'injection'), ('jailbreak_attempt', 'injection'), ('finance_trading_intent', 'finance'), ('finance_insider_info', 'finance'), ('finance_investment_advice', 'finance'), ('finance_loan_discussion', 'finance'), ('toxic_self_harm', 'toxic'), ('toxic_violence', 'toxic'), ('toxic_hate', 'toxic'), ('toxic_harassment', 'toxic'), ('toxic_sexual', 'toxic')) AS t(category, pack)""")
 def category_list(spark, d):
