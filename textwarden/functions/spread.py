@@ -13,7 +13,9 @@ def spread(df: DataFrame) -> DataFrame:
     that a shuffle has already distributed.
     """
     execution = df._jdf.queryExecution()
-    if "Exchange" in execution.executedPlan().toString():
+    plan = execution.executedPlan()
+    # the adaptive node stands on top of every plan with a shuffle; without it, shuffles stand in the plan themselves
+    if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if execution.toRdd().getNumPartitions() < cores else df
