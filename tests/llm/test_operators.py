@@ -93,6 +93,13 @@ def test_overlaps_through_further_words(spark, monkeypatch):
     assert {(x.train_key, x.eval_key) for x in overlap.overlaps(df).collect()} == full
 
 
+def test_skeleton_with_a_table_from_a_file(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("# source ; target ; class\n0251 ;\t0061 ;\tMA\t# comment\n1D00 ; 0251 ; MA\n0031 ; 006C ; MA\n13C0 ; 1D00 ; MA\n", encoding="utf-8")
+    df = odd(spark, ["\u13c0b1", "ab1", None, "\u0430b1"])
+    got = [x.s for x in lookalike.with_skeleton(df, to="s", table=str(tmp_path / "c.txt")).collect()]
+    assert got == ["ab1", "ab1", None, "ab1"]
+
+
 def test_leak_find_and_clean(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"before {item} after", "a"), (2, "nothing", "b"), (3, None, "c"), (4, "", "d"), (1, f"before {item} after", "a"), (5, " ".join(f"<b>W{i}</b>,\n" for i in range(12)), "e")], "doc_id long, text string, n string")

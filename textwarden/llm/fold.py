@@ -63,13 +63,35 @@ class _Prototype(dict):
 _PROTOTYPE = _Prototype()
 
 
-def skeleton(text: str | None) -> str | None:
+def load_table(path: str) -> _Prototype:
+    """Prototypes of this module with those of a file in the public format of confusables added: ``source ; target ; class``, code
+    points in hexadecimal, # begins a comment. What this module keeps apart (ASCII characters from each other, and what is
+    invisible) stays as it is; chains of the file are followed to their end."""
+    found: dict[int, str] = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            part = line.split("#")[0].split(";")
+            if len(part) >= 2 and part[0].strip():
+                source, target = ("".join(chr(int(x, 16)) for x in p.split()) for p in part[:2])
+                if len(source) == 1 and not source.isascii() and not invisible(source):
+                    found[ord(source)] = target
+    out = _Prototype()
+    for code in found:
+        seen, to = {code}, found[code]
+        while len(to) == 1 and ord(to) in found and ord(to) not in seen:
+            seen.add(ord(to))
+            to = found[ord(to)]
+        out[code] = unicodedata.normalize("NFD", to).translate(_PROTOTYPE)
+    return out
+
+
+def skeleton(text: str | None, table: _Prototype = _PROTOTYPE) -> str | None:
     """The one form of all texts that look alike; null stays null."""
     if text is None:
         return None
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PROTOTYPE))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
 
 
 class _One(dict):

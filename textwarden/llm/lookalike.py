@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fold import skeleton
+from .fold import load_table, skeleton
 from .util import checkpoint
 
 
@@ -26,12 +26,20 @@ def skeleton_column(col: str) -> F.Column:
     return F.coalesce(skeleton_udf(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
-def with_skeleton(df: DataFrame, text: str = "text", to: str = "skeleton") -> DataFrame:
+def with_skeleton(df: DataFrame, text: str = "text", to: str = "skeleton", table: str | None = None) -> DataFrame:
     """Adds the one form of ``text``. Null stays null, the empty text empty; other columns stay as they are.
 
-    A column already named as ``to`` is replaced.
+    A column already named as ``to`` is replaced. ``table``: a confusables file (``fold.load_table``) whose entries are added.
     """
-    return df.withColumn(to, skeleton_column(text))
+    if table is None:
+        return df.withColumn(to, skeleton_column(text))
+    sent = df.sparkSession.sparkContext.broadcast(load_table(table))  # a few thousand entries
+
+    @F.pandas_udf(T.StringType())
+    def own(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: skeleton(x, sent.value), na_action="ignore")
+
+    return df.withColumn(to, own(F.col(text)))
 
 
 def groups(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.spread import spread  # noqa: F401
+from ..sources.storage import shared_folder, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,57 +21,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Only where that setting is empty (tests on one machine) a local folder stands in.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="textwarden-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``checkpoint``, but as a compressed columnar table in the same folder.
-
-    Later stages read only the columns they need, and joins know its size. The table goes when
-    the driver's Python ends; after a crash the folder's owner removes it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="textwarden-checkpoint-"))
-        shared = context.getCheckpointDir()
-    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_remove)
-    _WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_WRITTEN: list[str] = []
-
-
-def _remove() -> None:
-    """Deletes what ``stored`` wrote, while the session still lives."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        for path in _WRITTEN:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended already
-        return
-
-
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key, spread over all cores by that key in the one shuffle that the dedupe needs anyway.
 
