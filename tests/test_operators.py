@@ -168,6 +168,17 @@ def test_breaker_and_budget_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.budget_batch(df).collect()))
 
 
+def test_refreshed_statistics(spark, tmp_path):
+    df = clicks(spark, 30).where("ts is not null")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    run = S.refreshed(S.events(spark, str(tmp_path / "e"), df.schema).groupBy("ok").count(), "refreshed_test", "1 second")
+    try:
+        run.processAllAvailable()
+        assert sum(r["count"] for r in spark.table("refreshed_test").collect()) == 31
+    finally:
+        run.stop()
+
+
 def test_gates_of_the_judge():
     said = []
 

@@ -94,6 +94,13 @@ def pii_severity_rollup(spark, d):
     return found.groupBy("severity").agg(F.count("*").alias("detections"))
 
 
+@query("WITH m AS (SELECT doc_id, " + ", ".join(f"{hit('text', PLAIN[r.no])} AS r{r.no}" for r in PII) + " FROM documents) " + " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) AS documents FROM m WHERE {' OR '.join(f'r{r.no}' for r in PII if r.category == c)} HAVING count(*) > 0" for c in dict.fromkeys(r.category for r in PII)))
+def pii_documents(spark, d):
+    """Documents with each kind of personal data, all rules."""
+    found = exploded(analyze(_docs(spark, d), Policy(detect_injection=False, detect_finance=False, detect_toxicity=False)))
+    return found.groupBy("category").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 @query(f"SELECT doc_id, regexp_replace(text, {lit(_EMAIL.pattern)}, '[REDACTED]', 'g') AS redacted_text FROM documents WHERE regexp_matches(text, {lit(_EMAIL.pattern)})")
 def redact_email(spark, d):
     return analyze(_docs(spark, d), Policy(pii_types=("pii_email",), detect_injection=False, detect_finance=False, detect_toxicity=False)).where("action = 'redact'").select("doc_id", "redacted_text")
@@ -109,9 +116,9 @@ def redact_all_strict(spark, d):
     return analyze(_docs(spark, d), Policy(detect_injection=False, detect_finance=False, detect_toxicity=False, compat="strict")).where("action = 'redact'").select("doc_id", "redacted_text")
 
 
-@query(f"WITH {_M} SELECT doc_id, category, CASE WHEN length(matched_text) <= 4 THEN '***' ELSE left(matched_text, 2) || repeat('*', length(matched_text) - 4) || right(matched_text, 2) END AS masked FROM (SELECT DISTINCT doc_id, category, matched_text FROM m WHERE category IN ('pii_email', 'pii_aadhaar', 'pii_pan'))")
+@query(f"WITH {_M} SELECT doc_id, category, CASE WHEN length(matched_text) <= 4 THEN '***' ELSE left(matched_text, 2) || repeat('*', length(matched_text) - 4) || right(matched_text, 2) END AS masked FROM (SELECT DISTINCT doc_id, category, matched_text FROM m WHERE category IN {EXACT_TYPES})")
 def mask_pii(spark, d):
-    found = exploded(analyze(_docs(spark, d), Policy(pii_types=("pii_email", "pii_aadhaar", "pii_pan"), detect_injection=False, detect_finance=False, detect_toxicity=False)))
+    found = exploded(analyze(_docs(spark, d), Policy(pii_types=EXACT_TYPES, detect_injection=False, detect_finance=False, detect_toxicity=False)))
     return found.select("doc_id", "category", D.mask(F.col("matched_text")).alias("masked"))
 
 

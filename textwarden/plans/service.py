@@ -11,7 +11,7 @@ from ..operators import feedback as B
 from ..operators import telemetry as T
 from ..rules import fixed_values as V
 from .curation import _G, _STRIP, _gold, _sh  # noqa: F401
-from .registry import any_sql, query, read
+from .registry import SQL, any_sql, query, read
 from .telemetry import _F, _KIND, _R, _fb, _req
 
 _SH = "(SELECT DISTINCT * FROM self_harm_generated)"
@@ -234,3 +234,34 @@ def retry_delays(spark, d):
 
     return spark.createDataFrame([(i, float(backoff(i))) for i in range(8)], "attempt long, delay double")
 
+
+
+@query(f"SELECT category, n, row_number() OVER (ORDER BY n DESC, category) AS rank FROM (SELECT category, count(*) AS n FROM {_G} WHERE category IS NOT NULL GROUP BY 1)")
+def categories_by_size(spark, d):
+    """Categories from the largest to the smallest; the window runs over one row per category."""
+    from pyspark.sql import Window
+
+    n = _gold(spark, d).where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "category")))
+
+
+@query(f"SELECT id, CASE WHEN greatest(coalesce(severity, 0) / 4.0, coalesce(annotation.claude_proposal.confidence, 0)) > 0.9 THEN 'toxic' ELSE 'safe' END AS label FROM {_G}")
+def score_of_two(spark, d):
+    """The larger of two scores decides; a missing one counts as 0."""
+    s = C.score_label(F.col("severity") / 4.0, F.col("annotation.claude_proposal.confidence"), above=0.9)
+    return _gold(spark, d).select("id", s.alias("label"))
+
+
+@query("WITH p AS (" + SQL["learned_patterns"] + "), x AS (SELECT min(pattern) AS first FROM p) SELECT p.pattern, p.name, p.source_feedback FROM p, x WHERE p.pattern <> x.first")
+def learned_new(spark, d):
+    """New rules without the one that is known already: the first by its pattern."""
+    f = _fb(spark, d)
+    known = B.learned(f).agg(F.min("pattern").alias("pattern"))
+    return B.learned(f, known).select("pattern", "name", "source_feedback")
+
+
+@query("SELECT CAST(0.5 AS DOUBLE) AS threshold")
+def threshold_default(spark, d):
+    """No threshold reaches the wanted recall and precision on these scores, so the default holds."""
+    g = _gold(spark, d).select((F.col("category") != "safe").cast("int").alias("y"), (F.coalesce("severity", F.lit(0)) / 400.0).alias("s"))
+    return E.best_balanced(E.sweep(g, F.col("y"), F.col("s"), (0.2, 0.5, 0.8)))

@@ -29,10 +29,8 @@ a AS (SELECT batch, unnest(range(0, 20)) AS pos, unnest(list_concat(list(coalesc
 SELECT b.item_id, {_LINE} AS label FROM b LEFT JOIN a ON a.batch = b.batch AND a.pos = b.pos""")
 def annotator_answers(spark, d):
     """An answer of one line per item, joined back to its batch by position; a missing line is safe."""
-    from pyspark.sql import Window
-
-    i = F.row_number().over(Window.orderBy("item_id")) - 1  # a fixed list of items: one task numbers it
-    b = read(spark, d, "eval_items", "item_id", "suite").select("item_id", "suite", F.floor(i / 20).alias("batch"), (i % 20).cast("int").alias("pos"))
+    i = F.col("_pos")
+    b = C.positions(read(spark, d, "eval_items", "item_id", "suite"), F.floor(F.col("item_id") / 1000), ["item_id"]).select("item_id", "suite", F.floor(i / 20).alias("batch"), (i % 20).cast("int").alias("pos"))
     answers = b.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.lower("suite"), F.lit("?")).alias("s")))), lambda x: x["s"]), "\n").alias("answer"))
     lines = answers.select("batch", F.posexplode(F.split("answer", "\n")).alias("pos", "line"))
     label = F.lit("safe")

@@ -297,3 +297,9 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     root = fresh(spark, name)  # a run never meets an earlier run's state
     w.format("parquet").option("path", root + "/rows").option("checkpointLocation", root + "/state").start().awaitTermination()
     return spark.read.schema(df.schema).parquet(root + "/rows")
+
+
+def refreshed(df: DataFrame, name: str, every: str = "5 minutes", mode: str = "complete"):
+    """A running stream whose result is a table of the session, renewed at each trigger: cached statistics, or a page that polls. The
+    caller stops it. For reports of bounded size, as the table lies in the driver's memory."""
+    return df.writeStream.queryName(name).outputMode(mode).format("memory").trigger(processingTime=every).start()
