@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from textwarden.llm import abuse, formatting, language, leak, lookalike, mixture, overlap, pieces, pii
+from textwarden.llm import abuse, formatting, language, leak, lookalike, mixture, overlap, pieces, pii, util
 from textwarden.llm.fold import skeleton
 from textwarden.llm.leak import words
 from textwarden.llm.pii_training import FIRST  # noqa: F401
@@ -78,6 +78,17 @@ def test_overlaps_by_brute_force(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 2_000])
+def test_copies_of_hot_classes_are_opened_in_parts(spark, monkeypatch, hot):
+    monkeypatch.setattr(util, "HOT", hot)
+    text = "one two three four five six seven eight"
+    rows = [(f"t{i:02d}", text, "train") for i in range(20)] + [(f"e{i:02d}", text.upper() if i % 2 else text.replace("four", "for"), "test") for i in range(15)] + [("x", "other words of no one else", "val")]
+    found = overlap.overlaps(spark.createDataFrame(rows, "record_id string, text string, split string"))
+    assert {(x.train_key, x.eval_key) for x in found.collect()} == {(f"t{i:02d}", f"e{j:02d}") for i in range(20) for j in range(15)}
+    same = odd(spark, ["Hi"] * 9 + ["H\u0456"] * 8)
+    assert lookalike.pairs(same).count() == 72
+
+
 def test_overlaps_through_further_words(spark, monkeypatch):
     """With room for hardly any pair per word, the second and third words must find the same."""
     r = random.Random(8)

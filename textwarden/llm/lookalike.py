@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fold import load_table, skeleton
-from .util import checkpoint
+from .util import checkpoint, opened
 
 
 #: Forms of one skeleton that are paired with the others in one task.
@@ -70,6 +70,6 @@ def pairs(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     a = forms.select("s", F.col("form").alias("fa"), F.pmod(F.xxhash64("form"), F.col("parts")).cast("int").alias("part"))
     b = forms.select("s", F.col("form").alias("fb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     form_pairs = a.join(b, ["s", "part"]).where("fa < fb").select("fa", "fb")
-    members = records.join(several, "s", "left_semi").select("k", "form")
-    out = form_pairs.join(members.select(F.col("form").alias("fa"), F.col("k").alias("ka")), "fa").join(members.select(F.col("form").alias("fb"), F.col("k").alias("kb")), "fb")
+    members = records.join(several.select("s"), "s", "left_semi").select(F.col("form").alias("c"), "k")
+    out = opened(opened(form_pairs, "fa", members, "k", "ka"), "fb", members, "k", "kb")
     return out.where("ka <> kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

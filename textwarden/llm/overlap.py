@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .leak import words
-from .util import spread, stored
+from .util import opened, spread, stored
 
 #: Words of more pairs than this are joined together with a further word instead, up to DEPTH words. It changes no result.
 MOST_PAIRS = 20_000
@@ -242,8 +242,9 @@ def overlaps(df: DataFrame, key: str = "record_id", text: str = "text", split: s
     near = pairs.mapInPandas(verify, "ca binary, cb binary, matched int, longer int")
     same = texts.where("train and eval").select(F.col("c").alias("ca"), F.col("c").alias("cb"), F.size(F.split("w", " ")).alias("matched")).withColumn("longer", F.col("matched"))
     both = near.unionByName(same)
-    t, e = members.where("side = 'train'").select(F.col("c").alias("ca"), F.col("k").alias("train_key")), members.where("side = 'eval'").select(F.col("c").alias("cb"), F.col("k").alias("eval_key"))
-    return both.join(t, "ca").join(e, "cb").where("train_key <> eval_key").select("train_key", "eval_key", "matched", "longer", (F.col("matched") / F.col("longer")).alias("coverage"))
+    out = opened(both, "ca", members.where("side = 'train'"), "k", "train_key")
+    out = opened(out, "cb", members.where("side = 'eval'"), "k", "eval_key")
+    return out.where("train_key <> eval_key").select("train_key", "eval_key", "matched", "longer", (F.col("matched") / F.col("longer")).alias("coverage"))
 
 
 def report(found: DataFrame, df: DataFrame, key: str = "record_id", split: str = "split", source: str = "source") -> DataFrame:
