@@ -6,8 +6,8 @@ import base64
 import functools
 import os
 
-#: Where the vocabulary lies unless TEXTWARDEN_TOKENIZER or a parameter says otherwise.
-DEFAULT = os.environ.get("TEXTWARDEN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Where the vocabulary lies unless TEXTWARDEN_TOKENIZER or a parameter says otherwise: one for many languages, as the texts are in many.
+DEFAULT = os.environ.get("TEXTWARDEN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: how texts are split before merging, published with this vocabulary. Another vocabulary brings its own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
