@@ -23,7 +23,7 @@ from .fold import plain
 from .util import spread
 
 #: Labelled rows that the index is fitted on at most, for each of the two sides (those whose hashed key is smallest).
-SAMPLE = 3_000
+SAMPLE = 5_000
 POSITIVE = ("harassment", "hate_speech", "sexual", "threat")
 K, BLOCK, FIRST = 15, 32, 6  # neighbours; examples of a block; blocks that are scored before bounds are compared
 GROUP = 64  # queries that are answered at once
