@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import detect as D
-from ..operators import curate as C
 from ..operators import scorer as S
 from ..operators.decide import Policy, analyze, decisions_from_json, exploded, policy_from_json
 from ..rules import fixed_values as V
@@ -95,6 +94,13 @@ def pii_evidence(spark, d):
     return exploded(analyze(_fixture(spark), Policy(detect_injection=False, detect_finance=False, detect_toxicity=False))).select("doc_id", "category").distinct()
 
 
+@query(f"WITH {_VALUES} SELECT doc_id, NOT {_CLEAR} AND ({_HITS} > 0 OR regexp_matches(text, '(?i)\\bgreat\\s+work\\b')) AS escalate FROM fixture")
+def escalation_learned(spark, d):
+    """Escalation with a rule that was learnt from feedback beside the fixed ones."""
+    x = _fixture(spark).withColumn("low", D.low_text(F.col("text")))
+    return x.select("doc_id", D.escalation("text", [("great_work", r"(?i)\bgreat\s+work\b")], "low")["escalate"].alias("escalate"))
+
+
 # ---- cascade ---------------------------------------------------------------------------------------
 def word_model(texts):
     """A stand-in: sure where a listed word stands, unsure where there is an exclamation mark."""

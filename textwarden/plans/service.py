@@ -10,7 +10,7 @@ from ..operators import evaluate as E
 from ..operators import feedback as B
 from ..operators import telemetry as T
 from ..rules import fixed_values as V
-from .curation import _G, _STRIP, _gold, _sh  # noqa: F401
+from .curation import _G, _gold, _sh
 from .registry import SQL, any_sql, query, read
 from .telemetry import _F, _KIND, _R, _fb, _req
 
@@ -265,3 +265,11 @@ def threshold_default(spark, d):
     """No threshold reaches the wanted recall and precision on these scores, so the default holds."""
     g = _gold(spark, d).select((F.col("category") != "safe").cast("int").alias("y"), (F.coalesce("severity", F.lit(0)) / 400.0).alias("s"))
     return E.best_balanced(E.sweep(g, F.col("y"), F.col("s"), (0.2, 0.5, 0.8)))
+
+
+@query(f"SELECT {_ENDPOINT} AS endpoint, round(count(*) FILTER (ms <> -1 OR ms IS NULL) / count(*), 6) AS availability, round(count(*) FILTER (ms = -1) / count(*), 6) AS error_5xx, round(count(*) FILTER (tenant_id IS NULL) / count(*), 6) AS error_4xx, CASE WHEN count(*) FILTER (ms = -1) / count(*) <= 0.001 THEN 'healthy' WHEN count(*) FILTER (ms = -1) / count(*) <= 0.01 THEN 'warning' ELSE 'exhausted' END AS budget FROM {_R} GROUP BY 1")
+def slo_by_endpoint(spark, d):
+    """Availability, failures of the service and of the caller (no tenant), and what is left of the error budget."""
+    bad = F.count_if(F.coalesce(F.col("ms") == -1, F.lit(False))) / F.count("*")
+    x = _families(spark, d).groupBy("endpoint").agg(bad.alias("bad"), (F.count_if(F.col("tenant_id").isNull()) / F.count("*")).alias("caller"))
+    return x.select("endpoint", F.round(1 - F.col("bad"), 6).alias("availability"), F.round("bad", 6).alias("error_5xx"), F.round("caller", 6).alias("error_4xx"), F.when(F.col("bad") <= 0.001, "healthy").when(F.col("bad") <= 0.01, "warning").otherwise("exhausted").alias("budget"))
