@@ -38,11 +38,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def _remove() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
     try:
-        for path in _WRITTEN:
+        spark = SparkSession.getActiveSession()
+        for path in _WRITTEN if spark is not None else ():
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session has ended already
