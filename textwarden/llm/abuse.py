@@ -153,31 +153,37 @@ class Index:
         value = np.repeat(np.concatenate([w for _, w in vectors]), size)
         place = query * self.blocks + self.run_block[run]
         bound = np.bincount(place, value * self.run_top[run], m * self.blocks).reshape(m, self.blocks) * (1 + 1e-6)
-        score = np.zeros((m, n))
-
-        def add(wanted: np.ndarray) -> None:
-            pick = wanted.ravel()[place]
-            at, size = run[pick], self.run_size[run[pick]]
-            entry = _ranges(self.run_start[at], size)
-            where = np.repeat(query[pick], size) * n + self.rows[entry]
-            flat = score.ravel()
-            flat += np.bincount(where, np.repeat(value[pick], size) * self.values[entry], m * n)
-            for q, owner in enumerate(without):
-                if owner in self.own:
-                    score[q, self._alone(owner)] = 0
-
-        first = np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
+        alone = [(q, np.array(self._alone(owner), np.int64)) for q, owner in enumerate(without) if owner in self.own]
+
+        def scored(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places (query x blocks + block) of the wanted blocks, and the scores of their examples: a row of BLOCK for each."""
+            at = np.flatnonzero(wanted)
+            slot = np.full(wanted.size, -1)
+            slot[at] = np.arange(len(at))
+            pick = slot[place] >= 0
+            size = self.run_size[run[pick]]
+            entry = _ranges(self.run_start[run[pick]], size)
+            where = np.repeat(slot[place[pick]] * BLOCK, size) + self.rows[entry] % BLOCK
+            score = np.bincount(where, np.repeat(value[pick], size) * self.values[entry], len(at) * BLOCK).reshape(-1, BLOCK)
+            for q, rows in alone:
+                k = slot[q * self.blocks + rows // BLOCK]
+                score[k[k >= 0], rows[k >= 0] % BLOCK] = 0
+            return at, score
+
+        few = min(FIRST, self.blocks)
+        first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
         wanted = np.zeros(bound.shape, bool)
         np.put_along_axis(wanted, first, True, 1)
-        add(wanted)
-        seen = np.minimum((first[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(m, -1), n)
-        seen = np.take_along_axis(np.concatenate([score, np.zeros((m, 1))], 1), seen, 1)  # rows beyond the last one score 0
+        at, score = scored(wanted)
+        seen = score.reshape(m, -1)  # every query has as many first blocks
         least = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(m)
         more = (bound >= least[:, None]) & (bound > 0) & ~wanted
         if more.any():
-            add(more)
-        q, row = np.nonzero(score >= np.maximum(least, 1e-12)[:, None])
-        s = score[q, row]
+            other, score2 = scored(more)
+            at, score = np.concatenate([at, other]), np.concatenate([score, score2])
+        q = at // self.blocks
+        block, row = np.nonzero(score >= np.maximum(least, 1e-12)[q][:, None])
+        q, row, s = q[block], (at[block] % self.blocks) * BLOCK + row, score[block, row]
         order = np.lexsort((row, -s, q))
         q, row, s = q[order], row[order], s[order]
         edge = np.searchsorted(q, np.arange(m + 1))
