@@ -105,14 +105,18 @@ def pii_hit_sql(text: str, low: str, rule: Rule) -> str:
     return f"(contains({text}, {quote(word)}) AND {found})" if word else hit_sql(text, low, rule.pattern)
 
 
+_FOLDED, _TO = "ſıİ\u212a", "siik"
+
+
 def low_sql(text: str) -> str:
-    """Lower case as ignore-case patterns see it: the letters that fold to an ASCII letter are that letter."""
-    return f"lower(translate({text}, 'ſıİ\u212a', 'siik'))"
+    """Lower case as ignore-case patterns see it: the letters that fold to an ASCII letter are that letter. Few texts hold one, and only
+    those are translated letter by letter."""
+    return f"lower(if({_contains_sql(text, _FOLDED)}, translate({text}, '{_FOLDED}', '{_TO}'), {text}))"
 
 
 def low_text(text: Column) -> Column:
     """The text in which the rules' words are searched; callers that run several packs keep it as a column. As ``low_sql``."""
-    return F.lower(F.translate(text, "ſıİ\u212a", "siik"))
+    return F.lower(F.when(_contains_any(text, _FOLDED), F.translate(text, _FOLDED, _TO)).otherwise(text))
 
 
 def keep_first(found: Column, same) -> Column:
