@@ -4,12 +4,15 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textwarden.llm import abuse, formatting, language, leak, lookalike, mixture, overlap, pieces, pii, util
 from textwarden.llm.fold import skeleton
 from textwarden.llm.leak import words
 from textwarden.llm.pii_training import FIRST  # noqa: F401
+from textwarden.llm.tokens import encode
 
 from .test_models import lcs
 
@@ -174,6 +177,33 @@ def test_mixture_shares_and_caps(spark):
     assert mixture.mix(docs.limit(0), targets).count() == 0
 
 
+def test_topics_are_fitted_on_all_documents_and_all_their_tokens(spark, monkeypatch):
+    r = random.Random(5)
+    groups = [[f" {w}" for w in x.split()] for x in ("parcel courier delivery late order", "bank loan interest account paid", "match goal team player score")]
+    rows = [(i, "".join(r.choices(groups[i % 2], k=12))) for i in range(2_600)] + [(2_600, ""), (2_601, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a")).withColumn("lang", F.lit("en"))
+    # the third group stands only in documents whose hashed id is beyond the first 2,000
+    late = [x.doc_id for x in docs.where("doc_id < 2600").orderBy(F.xxhash64("doc_id")).collect()[2_200:]]
+    texts = {i: "".join(r.choices(groups[2], k=12)) if i in set(late) else t for i, t in rows}
+    # tokens that occur once beside 500 that occur twice
+    many = [f" {a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in range(10, 35)]
+    texts |= {i: "".join(many) * 2 + "".join(groups[2]) for i in late[:3]}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").withColumn("source", F.lit("a")).withColumn("lang", F.lit("en"))
+    found = mixture.topics(df, k=3)
+    whole = [(h, *np.unique(encode(t), return_counts=True)) for h, t in sorted(map(tuple, df.where("text is not null").select(F.xxhash64("doc_id"), "text").collect()))]
+    local = mixture.Topics([(i, n) for _, i, n in whole], len(found.idf), 3)
+    assert np.array_equal(found.idf, local.idf) and np.array_equal(found.centres, local.centres)
+    names = [{found.of(encode(texts[i])) for i in some} for some in (set(range(0, 2_600, 2)) - set(late), set(range(1, 2_600, 2)) - set(late), late[3:])]
+    assert all(len(x) == 1 for x in names) and len(set.union(*names)) == 3
+    # neither the parts that the documents come in nor the size of blocks changes anything
+    monkeypatch.setattr(mixture, "BLOCK", 7)
+    other = mixture.topics(df.repartition(7, "text"), k=3)
+    assert np.array_equal(found.centres, other.centres) and np.array_equal(found.centres, mixture.Topics([(i, n) for _, i, n in whole], len(found.idf), 3).centres)
+    got = {x.doc_id: (x.topic, x.tokens) for x in mixture.sized(mixture.counted(df), found).collect()}
+    assert got == {i: (found.of(encode(t)), len(encode(t))) for i, t in texts.items() if t is not None}
+    assert mixture.topics(df.limit(0)).of([1]) == "t0"
+
+
 def test_pieces_operator(spark):
     docs = spark.createDataFrame([(1, "word " * 400, "x"), (2, "short", "x"), (3, None, "x"), (4, "", "x")], "doc_id long, text string, piece string")
     limits = spark.createDataFrame([("p", 100, 10), ("q", 1000, 10)], "profile string, max_tokens int, overlap_tokens int")
